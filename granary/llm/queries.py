@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat, mixing, quality, secrets, sharding
+from granary.llm import bpe, chat, langid, maxent, minhash, mixing, quality, secrets, sharding, spotsigs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +82,37 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.decode_documents(bpe.encode_documents(docs, tokenizer), tokenizer)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = maxent.remainder(4) == 2
+    model = langid.train(docs.filter(~held_out))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_neighbours(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
 
@@ -88,7 +120,18 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (op1_mix_sources, op2_secret_scan, op3_quality_rules, op4_chat_format, op10_shards)
+        for f in (
+            op1_mix_sources,
+            op2_secret_scan,
+            op3_quality_rules,
+            op4_chat_format,
+            op5_maxent_score,
+            op6_bpe_round_trip,
+            op7_language,
+            op8_near_duplicates,
+            op9_fingerprints,
+            op10_shards,
+        )
     }
 
 

@@ -87,3 +87,57 @@ def targets(sizes: dict, repeats: int = 3) -> dict:
         if not over:
             return {**fixed, **share}
         fixed |= {s: repeats * sizes[s] for s in over}
+
+
+def shingles(text: str | None) -> frozenset:
+    words = [w for w in WORD.findall(lower(text or ""))]
+    if len(words) == 1:
+        return frozenset({(words[0],)})
+    return frozenset(zip(words, words[1:], strict=False))
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def near_groups(docs: dict, percent: int = 80) -> dict:
+    """doc_id -> (set size, component_id, kept), by comparing all pairs."""
+    sets = {d: shingles(t) for d, t in docs.items()}
+    root = {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    order = sorted(d for d in docs if sets[d])
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 100 * small < percent * large:
+                continue
+            both = len(sets[a] & sets[b])
+            if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(sets[d]), find(d), find(d) == d) for d in docs}
+
+
+def unigram(docs: dict, modulus: int = 10) -> dict:
+    """doc_id -> held_out, n_tokens, n_known, train_tokens, base_score."""
+    import math
+
+    held = {d: zlib.crc32(str(d).encode()) % modulus == 0 for d in docs}
+    tokens = {d: [*WORD.findall(lower(t or "")), "\n"] for d, t in docs.items()}
+    counts = Counter(w for d, ws in tokens.items() if not held[d] for w in ws)
+    total, distinct = sum(counts.values()), len(counts)
+    return {
+        d: {
+            "held_out": held[d],
+            "n_tokens": len(ws),
+            "n_known": sum(counts[w] > 0 for w in ws),
+            "train_tokens": total,
+            "base_score": sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in ws),
+        }
+        for d, ws in tokens.items()
+    }
