@@ -124,11 +124,14 @@ def compare(op: str, a: Bound, b: Bound) -> Bound:
     x, y = a.col, b.col
     if {a.kind, b.kind} == {"bool", "int"} or {a.kind, b.kind} == {"bool", "float"}:
         x, y = _number(a), _number(b)
+    # A guard lets a null on the other side through, so that the comparison stays unknown.
     na, nb = a.is_nan(), b.is_nan()
+    both = na is not None and nb is not None
+    if op == "!=":
+        return Bound((x != y) | (na & y.isNotNull()) if both else x != y, "bool", True)
+    na, nb = (na if na is None else na & y.isNotNull()), (nb if nb is None else nb & x.isNotNull())
     if op == "==":
-        out = _guarded(x == y, na if na is not None else nb) if na is not None and nb is not None else x == y
-    elif op == "!=":
-        out = (x != y) | na if na is not None and nb is not None else x != y
+        out = _guarded(x == y, na) if both else x == y
     elif op == "<":
         out = _guarded(x < y, nb)
     elif op == "<=":
@@ -168,13 +171,13 @@ def true_division(x: Column, y: Column) -> Column:
     """x / y of doubles, with infinities and NaN where the divisor is zero."""
     negative = (F.signum(x) < 0) != (y.cast("string") == "-0.0")
     at_zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).otherwise(F.when(negative, F.lit(-INF)).otherwise(F.lit(INF)))
-    return F.when(y == 0, at_zero).otherwise(x / y)
+    return F.when((y == 0) & x.isNotNull(), at_zero).otherwise(x / F.when(y != 0, y))
 
 
 def floor_division(a: Bound, b: Bound) -> Bound:
     if _wider(a, b) == "int":
         x, y = _number(a).cast("long"), _number(b).cast("long")
-        left = F.when(y == 0, F.lit(0)).otherwise((x - _floor_mod(x, y)) / y)
+        left = F.when((y == 0) & x.isNotNull(), F.lit(0)).otherwise(F.call_function("div", x - _floor_mod(x, y), F.when(y != 0, y)))
         return Bound(left.cast("long"), "int", True)
     quotient = true_division(as_double(a), as_double(b))
     return Bound(whole(F.floor, quotient), "float")
@@ -182,7 +185,7 @@ def floor_division(a: Bound, b: Bound) -> Bound:
 
 def _floor_mod(x: Column, y: Column) -> Column:
     """Integer remainder with the sign of the divisor; 0 for a zero divisor."""
-    rest = F.when(y == 0, F.lit(0)).otherwise(x % F.when(y == 0, F.lit(1)).otherwise(y))
+    rest = x % F.when(y != 0, y).when(y == 0, F.lit(1))
     return F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest).cast("long")
 
 
@@ -192,7 +195,8 @@ def remainder(a: Bound, b: Bound) -> Bound:
     x, y = as_double(a), as_double(b)
     rest = x % F.when(y == 0, F.lit(NAN)).otherwise(y)
     signed = F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
-    return Bound(F.when(F.isnan(x) | F.isnan(y) | (y == 0), F.lit(NAN)).otherwise(signed), "float")
+    undefined = F.isnan(x) | F.isnan(y) | (y == 0)
+    return Bound(F.when(x.isNotNull() & y.isNotNull(), F.when(undefined, F.lit(NAN)).otherwise(signed)), "float")
 
 
 def whole(rounding: Callable[[Column], Column], x: Column) -> Column:

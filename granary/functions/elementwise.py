@@ -6,9 +6,11 @@ Everything but ``nextafter`` stays inside the JVM.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,10 +101,25 @@ _register("log1p", _logarithm(F.log1p, -1.0))
 
 
 def _pair(function: Callable[[Column, Column], Column]) -> Callable[[Bound, Bound], Bound]:
-    return lambda a, b: Bound(function(as_double(a), as_double(b)), "float")
+    def apply(a: Bound, b: Bound) -> Bound:
+        x, y = as_double(a), as_double(b)
+        return Bound(F.when(x.isNotNull() & y.isNotNull(), function(x, y)), "float")
+
+    return apply
+
 
+def _minus_zero(x: Column) -> Column:
+    return x.cast("string") == "-0.0"
 
-_register("arctan2", _pair(F.atan2), "atan2")
+
+def _arctan2(y: Column, x: Column) -> Column:
+    """Spark takes -0.0 for 0.0, which puts points left of the axis on the wrong side."""
+    left = (x < 0) | _minus_zero(x)
+    side = F.when(_minus_zero(y), F.lit(-math.pi)).otherwise(F.lit(math.pi))
+    return F.when((y == 0) & left, side).otherwise(F.atan2(y, x))
+
+
+_register("arctan2", _pair(_arctan2), "atan2")
 _register("hypot", _pair(F.hypot))
 
 
@@ -211,7 +228,9 @@ def _signbit(a: Bound) -> Column:
 _register("signbit", lambda a: Bound(_signbit(a), "bool", True))
 _register(
     "copysign",
-    lambda a, b: Bound(F.when(_signbit(b), -F.abs(as_double(a))).otherwise(F.abs(as_double(a))), "float"),
+    lambda a, b: Bound(
+        F.when(_signbit(b), -F.abs(as_double(a))).when(b.col.isNotNull(), F.abs(as_double(a))), "float"
+    ),
 )
 
 
@@ -278,12 +297,11 @@ REGISTRY["where"] = where
 
 @F.pandas_udf(T.DoubleType())
 def _next(a: pd.Series, b: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return pd.Series(np.nextafter(a.to_numpy(dtype=float), b.to_numpy(dtype=float))).where(a.notna() & b.notna(), None)
+    return pd.Series(np.nextafter(a.to_numpy(dtype=float), b.to_numpy(dtype=float)))
 
 
-_register("nextafter", lambda a, b: Bound(_next(as_double(a), as_double(b)), "float"))
+# pandas has no null beside NaN, so nulls are set and NaN is restored around the call.
+_register("nextafter", _pair(lambda x, y: F.coalesce(_next(x, y), F.lit(NAN))))
 
 
 def _strings(function: Callable[..., Column], kind: str) -> Callable[..., Bound]:

@@ -96,7 +96,7 @@ class Spec:
         return _SPARK[self.kind]
 
     def to_dict(self) -> dict:
-        out = {k: v for k, v in dataclasses.asdict(self).items() if v not in (None, False, ())}
+        out = {k: v for k, v in dataclasses.asdict(self).items() if v is not None and v is not False and v != ()}
         if self.item:
             out["item"] = self.item.to_dict()
         if self.fields:
