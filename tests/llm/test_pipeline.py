@@ -1,0 +1,54 @@
+"""The pipeline's stages, one after the other, on the smallest tables."""
+
+import os
+
+import brute
+import pytest
+
+DATA = "/root/testdata/sf0.001"
+pytest.importorskip("corpus_pipeline")
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+
+
+def test_stages(spark, tmp_path):
+    import base64
+
+    import corpus_pipeline as pipeline
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for i, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, DATA).write.parquet(str(tmp_path / str(i)))
+        out = spark.read.parquet(str(tmp_path / str(i)))
+        seen[name] = (docs.collect(), out.collect())
+        if name != "bpe tokens":
+            assert out.columns == columns, name
+        docs = out
+    before, after = seen["quality rules"]
+    kept = {r.doc_id for r in after}
+    assert not any(brute.quality(r.text)["base_failed"] for r in before if r.doc_id in kept)
+    passed = {r.doc_id for r in before if not brute.quality(r.text)["base_failed"]}
+    assert len(passed - kept) <= 0.02 * len(passed)
+    before, after = seen["near dedup"]
+    want = brute.near_groups({r.doc_id: r.text for r in before})
+    assert sorted(r.doc_id for r in after) == sorted(d for d, (_, _, k) in want.items() if k)
+    before, after = seen["secret scan"]
+    assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in after)
+    text = {r.doc_id: r.text for r in after}
+    for r in before:
+        found = brute.secrets(r.text)["base"]
+        assert (text[r.doc_id] == r.text) or brute.secrets(text[r.doc_id])["base"] == [], r.doc_id
+        assert not found or text[r.doc_id] != r.text
+    before, after = seen["source mix"]
+    size = {r.doc_id: len(brute.WORD.findall(r.text or "")) for r in before}
+    assert sum(size[r.doc_id] for r in after) <= sum(size.values()) and after
+    before, after = seen["bpe tokens"]
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {r.doc_id: r.text for r in before}
+    assert len(before) == len(after) and all(r.round_trip for r in after)
+    for r in after:
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(text[r.doc_id])
