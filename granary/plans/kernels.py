@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.expr import Bound, Expr, as_double, lift, lit
+from granary.expr import Bound, Expr, as_double, kind_of, lift, lit
 from granary.expr import _compile as compile_node
 from granary.functions import REGISTRY
 
@@ -212,6 +212,24 @@ def validate_kernel(function: Callable | str) -> dict:
     return {"valid": True, "error": None, "arguments": kernel.arguments, "stepwise": kernel.stepwise}
 
 
+def lazyudf(function: Callable, *operands: Any, dtype: str = "double") -> Expr:
+    """A function of NumPy blocks as an expression: it gets an array per operand and gives one of their length.
+
+    Blocks are Arrow batches, so the function must not depend on where they
+    begin. A ``Kernel`` becomes the expression that it stands for.
+    """
+    if isinstance(function, Kernel):
+        return function(*operands)
+
+    def run(*columns: pd.Series) -> pd.Series:
+        return pd.Series(np.asarray(function(*[c.to_numpy() for c in columns])))
+
+    run.__annotations__ = {}
+    to = T._parse_datatype_string(dtype)
+    udf = F.pandas_udf(run, to, F.PandasUDFType.SCALAR)
+    return lift(lambda *bounds: Bound(udf(*[b.col for b in bounds]), kind_of(to)), function.__name__, *operands)
+
+
 class _Traced:
     """NumPy functions on expressions while a function is traced."""
 
