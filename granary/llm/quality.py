@@ -13,8 +13,7 @@ WINDOW = 5
 #: A line is common on a host if more documents than both of these have it.
 MIN_DOCUMENTS = 10
 HOST_SHARE = 0.005
-#: A document is depleted if fewer words, or a smaller share of its words, are left without common lines.
-MIN_WORDS_LEFT = 10
+#: A document is depleted if a smaller share of its words is left without common lines.
 MIN_SHARE_LEFT = 0.2
 SYMBOLS = "#*$%&|<>"
 
@@ -115,9 +114,9 @@ def common_lines(lines: DataFrame, hosts: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame, host: str = "source", carry: list[str] | None = None) -> DataFrame:
     """Each row of docs (its ``carry`` columns, or all; host is among them) as a struct ``doc`` with base counts, base_failed, words_left, common (line hashes), kept.
 
-    Common lines of a row's host are taken out; a row that keeps fewer than
-    MIN_WORDS_LEFT words or MIN_SHARE_LEFT of its words is depleted. kept is
-    false for base failures and depleted rows. A null host is a host of its
+    Common lines of a row's host are taken out; a row that keeps less than
+    MIN_SHARE_LEFT of its words is depleted, so a short text with one common
+    line is not. kept is false for base failures and depleted rows. A null host is a host of its
     own. Each row is a document; repeated rows do not make a line common. An
     empty table gives an empty result.
     """
@@ -148,7 +147,7 @@ def judge_documents(docs: DataFrame, host: str = "source", carry: list[str] | No
     )
     judged = rows.join(removed, F.col(rid) == F.col("rid"), "left")
     left = F.col("n_words") - F.coalesce("words_removed", F.lit(0))
-    depleted = (left < MIN_WORDS_LEFT) | (left < MIN_SHARE_LEFT * F.col("n_words"))
+    depleted = left < MIN_SHARE_LEFT * F.col("n_words")
     return judged.select(
         "doc",
         "n_words",
