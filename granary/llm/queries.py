@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat, langid, maxent, minhash, mixing, quality, secrets, sharding, spotsigs
+from granary.llm import bpe, chat, langid, maxent, minhash, mixing, quality, secrets, sharding, spotsigs, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": sql.OP4, "op8_near_duplicates": sql.OP8}
