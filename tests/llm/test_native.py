@@ -88,7 +88,7 @@ def test_redaction(docs, empty):
     clean = {r.doc_id: r for r in out.collect()}
     assert HEXES not in clean[4].text and "<assign>" in clean[4].text and clean[4].n_chars == len(clean[4].text)
     assert clean[7].text == ODD[7][1] and clean[7].n_chars == 5 and clean[1].text is None
-    assert clean[4].text.endswith("<assign>") and "é😀" in clean[4].text
+    assert clean[4].text.endswith(" é😀 token := <hex>")
     assert secrets.redact_documents(empty).collect() == []
 
 
@@ -104,7 +104,7 @@ def test_quality_follows_the_contract(spark, docs, tmp_path):
 
 def test_common_lines_deplete_documents(spark):
     def own(i):
-        return " ".join(f"w{i}x{k}" for k in range(30))
+        return " ".join(f"w{i}x{k}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(30))
 
     line = "Rights to this text are reserved by its owner and all its partners since 2"
     rows = [(i, f"{own(i)}\nAll {line}{i % 10}\n{own(i + 1000)}", "h") for i in range(60)]
