@@ -83,9 +83,7 @@ class Table:
     def from_frame(cls, df: DataFrame, ordered_by: Sequence[SparkColumn] | None = None) -> Table:
         """A table of a DataFrame; the order is that of ordered_by, else of the partitions."""
         if ordered_by:
-            names = [f"__o{i}" for i in range(len(ordered_by))]
-            packed = df.withColumn(POS, F.lit(None).cast("long"))
-            return cls(packed, order=[*ordered_by], view=False) if names else cls(packed)
+            return cls(df.withColumn(POS, F.lit(None).cast("long")), order=ordered_by)
         return cls(df.withColumn(POS, F.monotonically_increasing_id()))
 
     @classmethod
@@ -234,11 +232,16 @@ class Table:
         """Whether the hidden position is not part of the order."""
         return POS not in str(self.order)
 
+    def by_position(self) -> bool:
+        """Whether the order is that of the hidden position alone."""
+        return [str(c) for c in self.order] == [str(F.col(POS))]
+
     def row(self, i: int):
         """One row as a named tuple; negative positions count from the end."""
-        order = self.order if i >= 0 else [c.desc() if "NULLS" not in str(c) and "ASC" not in str(c) else c for c in self.order]
-        if i < 0 and self.order_is_free():
-            return self.row(len(self) + i) if -i <= len(self) else self._no_row(i)
+        if i < 0 and not self.by_position():
+            size = len(self)
+            return self.row(size + i) if -i <= size else self._no_row(i)
+        order = self.order if i >= 0 else [F.desc(POS)]
         skip = i if i >= 0 else -i - 1
         found = self.df.orderBy(*order).offset(skip).limit(1).select(*[F.col(quoted(c)) for c in self.columns]).collect()
         if not found:
@@ -252,7 +255,7 @@ class Table:
         return self._derived(self.df.orderBy(*self.order).limit(n))
 
     def tail(self, n: int = 5) -> Table:
-        if self.order_is_free():
+        if not self.by_position():
             return self._sliced(slice(max(0, len(self) - n), None))
         return self._derived(self.df.orderBy(F.desc(POS)).limit(n))
 

@@ -83,6 +83,10 @@ def test_sort(t):
     assert ids(t.sort_by("score")) == [1, 2, 0, 3, 4]  # stable
     assert ids(t.sorted_slice("id", slice(1, 3), ascending=False)) == [3, 2]
     assert list(t.argsort("score")) == [1, 3, 4, 0, 2]
+    ordered = t.sort_by("id", view=True)
+    assert ordered[-1].id == 4 and ids(ordered.tail(2)) == [3, 4] and ids(ordered[-2:]) == [3, 4] and ids(ordered[::2]) == [0, 2, 4]
+    with pytest.raises(IndexError):
+        ordered[-6]
     with pytest.raises(ValueError):
         t.sort_by(["id"], [True, False])
     with pytest.raises(ValueError):
@@ -176,6 +180,7 @@ def test_group_by(sales):
     assert np.isnan(out["Oslo"].sales_sum) and np.isnan(out["Oslo"].sales_mean) and out["Oslo"].qty_max == 5
     kept = [r.city for r in sales.group_by("city", dropna=False).size()]
     assert kept == [None, "Oslo", "Rome"]
+    assert sales.group_by("city").size()[-1].city == "Rome" and sales.group_by("city").size()[0].city == "Oslo"
     named = {r.city: r for r in sales.group_by("city").agg(n=("*", "size"), top=("sales", "argmax"), low=("qty", "argmin"))}
     assert named["Rome"].n == 3 and named["Rome"].top == 0 and named["Oslo"].top == -1 and named["Oslo"].low == 1
     spread = {r.city: r.s for r in sales.group_by("city").agg(s=("sales", lambda v: v.max() - v.min()))}
