@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.batches import map_batches
@@ -115,13 +115,21 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, "node bigint, set array<bigint>", start)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the sizes n_u, n_v of their full sets and the size ``both`` of the intersection."""
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
     two = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    union = F.size("set_u") + F.size("set_v") - both
-    return pairs.join(one, "u").join(two, "v").filter(100 * both >= percent * union).select("u", "v")
+    return pairs.join(one, "u").join(two, "v").select(
+        "u",
+        "v",
+        F.size("set_u").alias("n_u"),
+        F.size("set_v").alias("n_v"),
+        F.size(F.array_intersect("set_u", "set_v")).alias("both"),
+    )
+
+
+def _similar(both: Column, n_u: Column, n_v: Column, percent: int) -> Column:
+    return 100 * both >= percent * (n_u + n_v - both)
 
 
 def near_groups(
@@ -136,15 +144,17 @@ def near_groups(
     result each. An empty table gives an empty result.
 
     Rows with equal sets are one node. Nodes share a bucket if a band of their
-    signatures agrees. In each bucket one node, drawn by hash, stands for all:
-
-    1. every node is confirmed against the stand-in it shares most bands with;
-    2. what is still in another component is confirmed against its other stand-ins;
-    3. in buckets that still hold several components, nodes of different
-       components are confirmed with each other.
-
-    So no link between components that share a bucket is left out, and the
-    pairs of a group that holds together are never formed.
+    signatures agrees. Each bucket has a stand-in: the member whose buckets
+    hold most nodes, which in a group of edited copies is the text that they
+    come from or one close to it.
+
+    1. Every node is compared on full sets with the stand-ins of its buckets,
+       and components are formed from the links.
+    2. In buckets that still hold several components, members of different
+       ones are compared if an upper bound of their intersection allows a
+       link (see ``_across``). The bound is exact, so no link between nodes
+       that share a bucket is left out, while pairs of a group that are
+       linked through its stand-in, or cannot be linked, are never formed.
     """
     body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
     texts = docs.select("doc_id", body)
@@ -157,35 +167,22 @@ def near_groups(
     )
     nodes = materialize(nodes, "minhash-nodes")
     keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    drawn = F.struct(F.xxhash64("key", "node").alias("draw"), F.col("node").alias("node"))
-    buckets = (
-        keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(drawn).alias("drawn")).filter("size > 1")
-    )
-    members = materialize(
-        keys.join(buckets, "key").select("key", "node", "n", F.col("drawn.node").alias("stand_in")), "minhash-members"
-    )
-    candidates = (
-        members.filter("node != stand_in")
-        .groupBy(F.col("node").alias("u"), F.col("stand_in").alias("v"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-    )
-    candidates = materialize(candidates, "minhash-candidates")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = materialize(keys.join(sizes, "key"), "minhash-shared")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    central = F.struct("company", F.xxhash64("node").alias("draw"), "node")
+    stand_ins = shared.join(company, "node").groupBy("key").agg(F.max(central)["node"].alias("stand_in"))
+    members = materialize(shared.join(stand_ins, "key").select("key", "node", "n", "size", "stand_in"), "minhash-members")
     sets = _member_sets(texts, signed, nodes, members, width)
 
-    best = candidates.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best")).select("u", "best.v")
-    best = materialize(best, "minhash-best")
-    links = materialize(_confirmed(best, sets, percent), "minhash-links")
-    parts = connected_components(links)
-
-    rest = _apart(candidates.select("u", "v").join(best, ["u", "v"], "left_anti"), parts)
-    more = materialize(_confirmed(rest, sets, percent), "minhash-links")
-    if not more.isEmpty():
-        parts = connected_components(_edges(parts).unionByName(more))
+    pairs = members.filter("node != stand_in").select(F.col("node").alias("u"), F.col("stand_in").alias("v")).distinct()
+    compared = materialize(_compared(pairs, sets), "minhash-compared")
+    linked = compared.filter(_similar(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
+    parts = connected_components(linked)
 
-    across = _across(members, parts, percent)
-    across = across.join(candidates.select("u", "v"), ["u", "v"], "left_anti")
-    across = across.join(candidates.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = materialize(_confirmed(across, sets, percent), "minhash-links")
+    more = _compared(_across(members, parts, sets, percent), sets)
+    more = more.filter(_similar(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
+    more = materialize(more, "minhash-links")
     if not more.isEmpty():
         parts = connected_components(_edges(parts).unionByName(more))
 
@@ -219,25 +216,69 @@ def _edges(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose nodes are in different components."""
-    of_u = parts.select(F.col("node").alias("u"), F.col("component").alias("part_u"))
-    of_v = parts.select(F.col("node").alias("v"), F.col("component").alias("part_v"))
-    joined = pairs.join(of_u, "u", "left").join(of_v, "v", "left")
-    return joined.filter(F.coalesce("part_u", "u") != F.coalesce("part_v", "v")).select("u", "v")
+#: Parts, by hash, of the shingles that a node shares with its stand-in, and of its other ones.
+COMMON_PARTS, OTHER_PARTS = 32, 16
+
 
+def _across(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket but no component, and that may be similar.
 
-def _across(members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes that share a bucket but no component, and whose sizes allow the similarity."""
-    placed = members.join(parts, "node", "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("part")
+    Let c be the stand-in of the bucket. A shingle in both nodes is in c or
+    not, and falls into one of some hash parts. In each part the intersection
+    is at most the smaller count of the two nodes, where shingles outside c
+    count only if another node of c's has them too. So the sum of the smaller
+    counts bounds the intersection from above. Edited copies differ in
+    different places, which keeps the bound close to the truth.
+
+    Pairs are compared within buckets by these counts alone, inside the join.
+    """
+    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = (
+        placed.filter("size > 2")
+        .groupBy("key")
+        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        .filter("low != high")
+        .select("key")
     )
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-    placed = placed.join(mixed.select("key"), "key")
-    one = placed.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"))
-    two = placed.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"))
-    possible = (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")) & (F.col("part_u") < F.col("part_v"))
-    return one.join(two, "key").filter(possible).select("u", "v").distinct()
+    placed = materialize(placed.join(mixed, "key"), "minhash-mixed")
+    own = placed.select("node", "stand_in").distinct()
+    counts = _part_counts(own, sets)
+    names = [c for c in counts.columns if c[0] == "c"]
+    placed = placed.filter("node != stand_in").join(counts, ["node", "stand_in"])
+    one = placed.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"), *[F.col(c).alias(f"{c}_u") for c in names])
+    two = placed.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"), *[F.col(c).alias(f"{c}_v") for c in names])
+    bound = sum((F.least(f"{c}_u", f"{c}_v") for c in names), F.lit(0))
+    sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    possible = (F.col("part_u") < F.col("part_v")) & sizes & _similar(bound, F.col("n_u"), F.col("n_v"), percent)
+    return one.join(two.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & possible).select("u", "v").distinct()
+
+
+def _part_counts(own: DataFrame, sets: DataFrame) -> DataFrame:
+    """For (node, stand_in): the number of shingles in each part, as columns c0, c1, ..."""
+    theirs = sets.select(F.col("node").alias("stand_in"), F.col("set").alias("theirs"))
+    both = own.join(sets, "node").join(theirs, "stand_in")
+    split = materialize(
+        both.select(
+            "node",
+            "stand_in",
+            F.array_intersect("set", "theirs").alias("common"),
+            F.array_except("set", "theirs").alias("other"),
+        ),
+        "minhash-split",
+    )
+    others = split.select("node", "stand_in", F.explode("other").alias("shingle"))
+    repeated = others.groupBy("stand_in", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    others = others.join(repeated.drop("times"), ["stand_in", "shingle"])
+    place = F.pmod(F.col("shingle"), F.lit(OTHER_PARTS))
+    others = others.groupBy("node", "stand_in").agg(
+        *[F.count_if(place == i).cast("int").alias(f"c{COMMON_PARTS + i}") for i in range(OTHER_PARTS)]
+    )
+
+    def in_part(i: int) -> Column:
+        return F.size(F.filter("common", lambda s: F.pmod(s, F.lit(COMMON_PARTS)) == i)).alias(f"c{i}")
+
+    common = split.select("node", "stand_in", *[in_part(i) for i in range(COMMON_PARTS)])
+    return common.join(others, ["node", "stand_in"], "left").na.fill(0)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
