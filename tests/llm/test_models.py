@@ -133,8 +133,25 @@ def test_class_probabilities_sum_to_one():
     draw = np.random.default_rng(1)
     weights = draw.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
     data = maxent.Batch([maxent.split(b"a b c d"), maxent.split(None), maxent.split(b"x")], maxent._Ids())
-    logs = maxent.log_softmax(maxent.class_logits(weights, np.zeros(maxent.CLASSES, np.float32), data.features, slice(None)))
-    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-5) and list(data.begins) == [0, 5, 6]
+    logits = maxent.class_logits(weights, np.zeros(maxent.CLASSES, np.float32), data.features, slice(None))
+    shares = maxent.softmax(logits.copy())
+    assert np.allclose(shares.sum(axis=0), 1, atol=1e-5) and list(data.begins) == [0, 5, 6]
+    picked = maxent.chosen_log_softmax(logits.copy(), data.classes)
+    assert np.allclose(np.exp(picked), shares[data.classes, np.arange(len(picked))], atol=1e-5)
+
+
+def test_gradient_steps_learn():
+    text = b" ".join([b"aa bb cc dd"] * 200)
+    weights, scale = np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros(maxent.BUCKETS, np.float32)
+    bias, data = np.zeros(maxent.CLASSES, np.float32), maxent.Batch([maxent.split(text)], maxent._Ids())
+
+    def loss():
+        return -maxent.chosen_log_softmax(maxent.class_logits(weights, bias, data.features, slice(None)), data.classes).mean()
+
+    before = loss()
+    for _ in range(20):
+        maxent.gradient_step(weights, scale, bias, data, slice(None))
+    assert loss() < before / 3
 
 
 def near_rows(seed=8):
