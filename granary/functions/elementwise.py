@@ -27,7 +27,6 @@ from granary.expr import (
     complex_col,
     im_of,
     invert,
-    kind_of,
     lift,
     lit,
     logical,
@@ -325,4 +324,4 @@ REGISTRY["fillna"] = lambda x, value: to_expr(x).fillna(value)
 REGISTRY["isin"] = lambda x, values: to_expr(x).isin(values)
 REGISTRY["lit"] = lit
 
-__all__ = ["REGISTRY", "kind_of"]
+__all__ = ["REGISTRY"]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.expr import INF, NAN, Bound, Expr, as_double, compile_text, kind_of
+from granary.expr import INF, NAN, Bound, Expr, compile_text, kind_of
 from granary.functions import REGISTRY
 from granary.operators.table import dense_positions
 
@@ -772,4 +772,4 @@ def diagonal(x: Array, offset: int = 0) -> Array:
     return Array(kept.select(*x.axes[:-2], place.alias(r), "v"), (*x.shape[:-2], n))
 
 
-__all__ = ["Array", "as_double", "REDUCTIONS"]
+__all__ = ["REDUCTIONS", "Array"]

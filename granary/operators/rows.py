@@ -9,8 +9,7 @@ import numpy as np
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import functions as F
 
-from granary.expr import NAN, Expr, field, kind_of
-from granary.expr import Bound
+from granary.expr import NAN, Bound, Expr, field
 
 if TYPE_CHECKING:
     from granary.operators.table import Column
@@ -86,4 +85,4 @@ def reduce_column(column: Column, op: str, axis: int | None = 0):
     return out.reshape(shape) if shape and math.prod(shape) == len(out) else out
 
 
-__all__ = ["RowTransformer", "dot", "kind_of", "reduce_array", "reduce_column"]
+__all__ = ["RowTransformer", "dot", "reduce_array", "reduce_column"]

@@ -8,12 +8,10 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from granary import schema as S
 from granary.expr import Expr, compile_text, quoted
 from granary.operators.ndarray import Array
-from granary.operators.table import POS, Table
+from granary.operators.table import Table
 from granary.sources import tabular
 
 
@@ -231,8 +229,4 @@ def load_table(spark: SparkSession, path: str) -> Table:
     return table
 
 
-def describe_type(dtype: T.DataType) -> str:
-    return S.spec_of(T.StructField("x", dtype)).kind
-
-
-__all__ = ["POS", "Store", "load_table", "open_table", "save_table"]
+__all__ = ["Store", "load_table", "open_table", "save_table"]
