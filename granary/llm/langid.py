@@ -33,7 +33,8 @@ def letters(text: str | None) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
-    padded = f"<{word}>"
+    """The n-grams of a word; those longer than a letter see where it begins and ends."""
+    padded = f"<{word}>" if n > 1 else word
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
@@ -118,8 +119,8 @@ def train(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Mo
         return _log_frequencies({r[key]: r.by for r in top}, langs)
 
     by_length = []
-    padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
     for n in range(1, LONGEST_GRAM + 1):
+        padded = F.concat(F.lit("<"), F.col("word"), F.lit(">")) if n > 1 else F.col("word")
         parts = counted.filter(F.length(padded) >= n).select(
             "lang",
             "n",
