@@ -11,11 +11,11 @@ from pathlib import Path
 import pandas as pd
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.batches import bound_batches
-from granary.scratch import with_row_id
+from granary.scratch import free_name, with_row_id
 
 #: Code points of a chunk, and of its overlap with the next; longer texts are cut up.
 CHUNK = 32_768
@@ -23,7 +23,7 @@ OVERLAP = 1_024
 #: A pre-token boundary is certain only this far before the end of a chunk.
 LOOKAHEAD = 4
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 _WORKERS: dict[int, _Worker] = {}
 
@@ -39,7 +39,7 @@ class _Pieces(dict):
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= 32:
             self[piece] = raw
         return raw
 
@@ -50,7 +50,7 @@ class _Worker:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
         self.pieces = _Pieces(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        self.tokens = [token for token, _ in sorted(ranks.items(), key=lambda x: x[1])]
 
     def encode(self, pieces) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
@@ -61,7 +61,7 @@ class _Worker:
 
 
 class Tokenizer:
-    """A rank file and the pattern that splits texts into pre-tokens, shipped to workers by broadcast.
+    """A rank file of ranks 0, 1, 2, ... and the pattern that splits texts into pre-tokens, shipped to workers by broadcast.
 
     The driver reads the file itself if it can open it, else through Spark. A
     vocabulary is of fixed size, so its broadcast does not grow with the data.
@@ -89,17 +89,29 @@ def _worker_of(tokenizer: Tokenizer):
     return lambda: _remembered(key, shared)
 
 
-def encode_udf(tokenizer: Tokenizer):
-    """Text -> ids as little-endian unsigned 32-bit integers."""
+_CODED = "struct<ids:binary,decoded:binary>"
+
+
+def _coded(worker: _Worker, lists_of_pieces) -> pd.DataFrame:
+    """Ids of each list of pre-tokens, and the bytes that these ids decode to."""
+    ids = [worker.encode(pieces) for pieces in lists_of_pieces]
+    return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(map(worker.decode, ids), dtype=object)})
+
+
+def code_udf(tokenizer: Tokenizer):
+    """Text -> ids as little-endian unsigned 32-bit integers, and the bytes that they decode to.
+
+    Both come from one Python worker, so a task holds the vocabulary once.
+    """
     get = _worker_of(tokenizer)
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_CODED)
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = get()
         for texts in batches:
-            yield pd.Series([worker.encode(worker.pattern.findall(t)) for t in texts], dtype=object)
+            yield _coded(worker, map(worker.pattern.findall, texts))
 
-    return encode.asNondeterministic()
+    return code.asNondeterministic()
 
 
 def decode_udf(tokenizer: Tokenizer):
@@ -130,7 +142,7 @@ def boundaries(pattern: regex.Pattern, chunk: str, overlap: int, lookahead: int
     return head, tail
 
 
-def _encode_long(docs: DataFrame, tokenizer: Tokenizer, chunk: int, overlap: int, ids: str) -> DataFrame:
+def _code_long(docs: DataFrame, tokenizer: Tokenizer, chunk: int, overlap: int, coded: str) -> DataFrame:
     """Texts of several chunks: pre-tokenise chunks, stitch where both sides of an overlap agree, encode, join."""
     get = _worker_of(tokenizer)
 
@@ -141,22 +153,21 @@ def _encode_long(docs: DataFrame, tokenizer: Tokenizer, chunk: int, overlap: int
             found = [boundaries(worker.pattern, t, overlap) for t in texts]
             yield pd.DataFrame({"head": [h for h, _ in found], "tail": [t for _, t in found]})
 
-    @F.pandas_udf("binary")
-    def encode_between(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(_CODED)
+    def code_between(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         worker = get()
         for texts, begins, ends in batches:
-            yield pd.Series(
-                [
-                    worker.encode(m[0] for m in worker.pattern.finditer(t) if a <= m.start() < b)
+            yield _coded(
+                worker,
+                (
+                    [m[0] for m in worker.pattern.finditer(t) if a <= m.start() < b]
                     for t, a, b in zip(texts, begins, ends, strict=True)
-                ],
-                dtype=object,
+                ),
             )
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([b"".join(bytes(p["ids"]) for p in parts) for parts in lists], dtype=object)
+    def joined(part: str) -> Column:
+        """The parts of all chunks in order; as hex, because only strings can be joined in one go."""
+        return F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["coded"][part])), "")).alias(part)
 
     rows, rid = with_row_id(docs, "bpe-long")
     last = F.floor((F.length("text") - overlap - 1) / chunk)
@@ -184,44 +195,55 @@ def _encode_long(docs: DataFrame, tokenizer: Tokenizer, chunk: int, overlap: int
         .select(
             "rid",
             "chunk",
-            encode_between(
+            code_between(
                 "part",
                 F.coalesce(F.col("cut"), F.lit(0)),
                 F.when(F.col("is_last"), F.col("length")).otherwise(F.col("next_cut") + F.col("length") - overlap),
-            ).alias("ids"),
+            ).alias("coded"),
         )
         .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-        .select("rid", joined("parts").alias("stitched_ids"))
+        .agg(F.sort_array(F.collect_list(F.struct("chunk", "coded"))).alias("parts"))
+        .select("rid", F.struct(joined("ids"), joined("decoded")).alias("stitched"))
     )
     # Where no boundary is agreed on, as in one word longer than an overlap, the text is encoded in one go.
     out = rows.join(encoded, F.col(rid) == F.col("rid"), "left")
-    whole = out.filter(F.col("stitched_ids").isNull()).select(*docs.columns, encode_udf(tokenizer)("text").alias(ids))
+    whole = out.filter(F.col("stitched").isNull()).select(*docs.columns, code_udf(tokenizer)("text").alias(coded))
     return (
-        out.filter(F.col("stitched_ids").isNotNull())
-        .select(*docs.columns, F.col("stitched_ids").alias(ids))
-        .unionByName(whole)
+        out.filter(F.col("stitched").isNotNull()).select(*docs.columns, F.col("stitched").alias(coded)).unionByName(whole)
     )
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: Tokenizer, ids: str = "ids", chunk: int = CHUNK, overlap: int = OVERLAP
+    docs: DataFrame,
+    tokenizer: Tokenizer,
+    ids: str = "ids",
+    decoded: str | None = None,
+    chunk: int = CHUNK,
+    overlap: int = OVERLAP,
 ) -> DataFrame:
     """docs with a binary column ``ids``: the ids of text as little-endian unsigned 32-bit integers.
 
-    docs needs text; null texts are empty and get no ids. Every match of the
-    pattern is encoded by itself, without special tokens. Texts longer than a
-    chunk and its overlap are cut into overlapping chunks that different tasks
-    pre-tokenise. Repeated rows are encoded each for itself; an existing
-    column named ``ids`` is an error.
+    With a name for ``decoded`` there is also a binary column of the bytes
+    that these ids decode to. docs needs text; null texts are empty and get no
+    ids. Every match of the pattern is encoded by itself, without special
+    tokens. Texts longer than a chunk and its overlap are cut into overlapping
+    chunks that different tasks pre-tokenise and encode. Repeated rows are
+    encoded each for itself; an existing column of a result's name is an
+    error.
     """
-    if ids in docs.columns:
-        raise ValueError(f"there is a column {ids} already")
+    for name in (ids, decoded):
+        if name in docs.columns:
+            raise ValueError(f"there is a column {name} already")
     bound_batches(docs)
+    coded = free_name(docs, "coded")
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
     is_long = F.length("text") > chunk + overlap
-    short = texts.filter(~is_long).withColumn(ids, encode_udf(tokenizer)("text"))
-    return short.unionByName(_encode_long(texts.filter(is_long), tokenizer, chunk, overlap, ids))
+    short = texts.filter(~is_long).withColumn(coded, code_udf(tokenizer)("text"))
+    out = short.unionByName(_code_long(texts.filter(is_long), tokenizer, chunk, overlap, coded))
+    results = [F.col(coded)["ids"].alias(ids)]
+    if decoded:
+        results.append(F.col(coded)["decoded"].alias(decoded))
+    return out.select(*docs.columns, *results)
 
 
 def decode_documents(encoded: DataFrame, tokenizer: Tokenizer, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

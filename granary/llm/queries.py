@@ -89,7 +89,7 @@ def op5_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode_documents(bpe.encode_documents(docs, tokenizer), tokenizer)
+    coded = bpe.encode_documents(docs, tokenizer, decoded="decoded")
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

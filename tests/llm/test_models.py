@@ -58,7 +58,10 @@ def test_chunks_are_stitched_exactly(spark, encoding):
     rows = [(i, "".join(draw.choices(pieces, k=draw.randint(50, 800))), "en") for i in range(40)]
     rows += [(100, "z" * 900, "en"), (101, " " * 900, "en"), (102, "ab " * 20 + "q" * 300 + " cd" * 50, "en")]
     tokenizer = bpe.Tokenizer(spark, RANKS, public_tokenizers.PATTERN)
-    got = bpe.encode_documents(frame(spark, rows), tokenizer, chunk=64, overlap=24).select("doc_id", "ids").collect()
+    coded = bpe.encode_documents(frame(spark, rows), tokenizer, decoded="own", chunk=64, overlap=24)
+    assert coded.filter("own <> cast(text as binary)").count() == 0
+    got = bpe.decode_documents(coded, tokenizer).select("doc_id", "ids", "own", "decoded").collect()
+    assert all(r.own == r.decoded for r in got)
     assert len(got) == len(rows)
     text = {d: t for d, t, _ in rows}
     for r in got:
