@@ -93,10 +93,10 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 def common_lines(lines: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, hash) of lines that more documents of the host have than its limit allows.
 
-    Documents are told apart by the smallest hash among their other lines, so
-    exact and near copies of one document, which share that too, count about
-    once and copying alone makes no line common. Equal (host, hash, identity)
-    are combined before they are counted.
+    Documents are told apart by a digest of all their normalised lines, so
+    exact copies count once and copying alone makes no line common; texts that
+    differ in a line are different documents. Equal (host, hash, identity) are
+    combined before they are counted.
     """
     seen = lines.select("host", "hash", "identity").distinct()
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("documents"))
@@ -121,20 +121,10 @@ def judge_documents(docs: DataFrame, host: str = "source", carry: list[str] | No
     empty table gives an empty result.
     """
     rows, rid = with_row_id(measured(docs, carry), "quality-rows")
-    first = F.array_min(F.transform("lines", lambda x: x["hash"]))
-    second = F.array_min(
-        F.filter(F.transform("lines", lambda x: x["hash"]), lambda h: h != F.col("first"))
-    )
-    marked = rows.select(F.col(rid).alias("rid"), F.col("doc")[host].alias("host"), "lines", first.alias("first"))
-    marked = marked.withColumn("second", second)
-    lines = marked.select("rid", "host", "first", "second", F.explode("lines").alias("line")).select(
-        "rid",
-        "host",
-        F.col("line.hash").alias("hash"),
-        F.col("line.words").alias("words"),
-        F.coalesce(
-            F.when(F.col("line.hash") != F.col("first"), F.col("first")).otherwise(F.col("second")), F.col("line.hash")
-        ).alias("identity"),
+    identity = F.xxhash64(F.transform("lines", lambda x: x["hash"]))
+    marked = rows.select(F.col(rid).alias("rid"), F.col("doc")[host].alias("host"), "lines", identity.alias("identity"))
+    lines = marked.select("rid", "host", "identity", F.explode("lines").alias("line")).select(
+        "rid", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"), "identity"
     )
     hosts = rows.groupBy(F.col("doc")[host].alias("host")).agg(F.count(F.lit(1)).alias("rows"))
     common = common_lines(lines, hosts)

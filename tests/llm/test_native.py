@@ -121,6 +121,15 @@ def test_common_lines_deplete_documents(spark):
     assert set(cleaned) == {d for d, k in kept.items() if k}
 
 
+def test_documents_with_several_common_lines_count_each(spark):
+    shared = [f"{word} part {word} of every page" for word in "first second third fourth fifth sixth seventh eighth".split()]
+    own = ["own " + " ".join(chr(97 + i) + chr(97 + k) + chr(97 + i * k % 26) for k in range(26)) for i in range(24)]
+    rows = [(i, "\n".join([*shared[:4], own[i], *shared[4:]]), "h") for i in range(24)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cleaned = {r.doc_id: r.text for r in quality.clean_documents(df).collect()}
+    assert cleaned == dict(enumerate(own))
+
+
 def test_quality_of_nothing(empty):
     assert quality.clean_documents(empty).collect() == []
 
