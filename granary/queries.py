@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.expr import col
 from granary.operators import ndarray as nd
 from granary.operators import rows
-from granary.operators.table import Column, Table, concat, minmax_buckets
+from granary.operators.table import Column, Table, concat, dense_positions, minmax_buckets
 from granary.plans import kernel_from_source
 from granary.sources import tabular
 from granary.streaming import windowed_counts
@@ -448,6 +448,75 @@ def array_mask(spark, sf_dir):
     return kept.df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
+# Arrays of the whole table
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> nd.Array:
+    """All elements of all vectors, a row per vector in the order of vec_id."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    placed = dense_positions(e, [F.col("vec_id")], "i0")
+    cells = placed.select("i0", F.posexplode("embedding").alias("i1", "v"))
+    cells = cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v"))
+    return nd.Array(cells, (placed.count(), 64))
+
+
+_W = """(SELECT i, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v
+         FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings))"""
+
+
+@query(f"SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 6) AS v FROM {_W} a JOIN {_W} b ON a.i = b.i GROUP BY 1, 2")
+def whole_matmul(spark, sf_dir):
+    x = _whole(spark, sf_dir)
+    return nd.matmul(x.T, x).df.withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT j AS i0, round(sum(v), 6) AS v FROM {_W} GROUP BY 1")
+def whole_axis_sum(spark, sf_dir):
+    return _whole(spark, sf_dir).sum(axis=0).df.withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT i AS i0, round(stddev_pop(v), 6) AS v FROM {_W} GROUP BY 1")
+def whole_axis_std(spark, sf_dir):
+    return _whole(spark, sf_dir).std(axis=1).df.withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT i AS i0, arg_max(j, (v, -j)) AS v FROM {_W} GROUP BY 1")
+def whole_axis_argmax(spark, sf_dir):
+    return _whole(spark, sf_dir).argmax(axis=1).df
+
+
+@query(f"SELECT i AS i0, j AS i1, round(sum(v) OVER (PARTITION BY i ORDER BY j), 6) AS v FROM {_W}")
+def whole_cumsum(spark, sf_dir):
+    return nd.cumulative_sum(_whole(spark, sf_dir), axis=1).df.withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT i AS i0, j AS i1, round((v - m) * 2, 6) AS v FROM {_W} JOIN (SELECT i, avg(v) AS m FROM {_W} GROUP BY 1) USING (i)")
+def whole_broadcast(spark, sf_dir):
+    x = _whole(spark, sf_dir)
+    return ((x - x.mean(axis=1, keepdims=True)) * 2).df.withColumn("v", F.round("v", 6))
+
+
+@query(f"SELECT (i * 64 + j) // 16 AS i0, (i * 64 + j) % 16 AS i1, v FROM {_W}")
+def whole_reshape(spark, sf_dir):
+    return nd.reshape(_whole(spark, sf_dir), (-1, 16)).df
+
+
+@query(f"SELECT (i - 2) // 3 AS i0, j AS i1, v FROM {_W} WHERE i >= 2 AND (i - 2) % 3 = 0")
+def whole_slice(spark, sf_dir):
+    return _whole(spark, sf_dir)[2::3].df
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY v, i, j) - 1 AS BIGINT) AS i0, v FROM {_W}")
+def whole_sort(spark, sf_dir):
+    return nd.sort(nd.reshape(_whole(spark, sf_dir), -1)).df
+
+
+@query(f"SELECT count(*) AS n, round(sum(v), 6) AS total FROM {_W} WHERE v > 0")
+def whole_mask(spark, sf_dir):
+    x = _whole(spark, sf_dir)
+    return x[x > 0].df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
+
+
 @query()
 def random_normal(spark, sf_dir):
     from granary.operators.random import default_rng
