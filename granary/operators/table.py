@@ -35,6 +35,10 @@ def get_printoptions() -> dict:
     return dict(_PRINT_OPTIONS)
 
 
+#: Rows that a top-k may hold; longer stretches are found by their positions.
+MOST_SORTED = 100_000
+
+
 class ReadOnlyError(ValueError):
     """A view was asked to change."""
 
@@ -60,6 +64,14 @@ def dense_positions(df: DataFrame, order: Sequence[SparkColumn], name: str = POS
     return joined.withColumn(name, place).drop("__part", "__id", "__base")
 
 
+def _in_range(places: range) -> SparkColumn:
+    """Whether the position is in a range."""
+    if not places:
+        return F.lit(False)
+    low, high = sorted((places[0], places[-1]))
+    return F.col(POS).between(low, high) & ((F.col(POS) - places[0]) % abs(places.step) == 0)
+
+
 class Table:
     """A table with a logical row order.
 
@@ -76,6 +88,7 @@ class Table:
         self.generated = dict(generated or {})
         self.order = list(order) if order else [F.col(POS)]
         self._indexes: dict[str, Any] = {}
+        self._found: dict[str, DataFrame] = {}
 
     # Construction
 
@@ -130,7 +143,12 @@ class Table:
 
     @property
     def info(self) -> dict:
-        return {"rows": len(self), "columns": self.schema_dict(), "computed": list(self.computed), "view": self.is_view}
+        return {"rows": len(self), "nbytes": self.nbytes, "columns": self.schema_dict(), "computed": list(self.computed), "view": self.is_view}
+
+    @property
+    def nbytes(self) -> int:
+        """The size that Spark's optimizer estimates: of the files for a stored table, of the plan's output otherwise."""
+        return int(str(self.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def __len__(self) -> int:
         return self.df.count()
@@ -200,11 +218,26 @@ class Table:
         if isinstance(condition, np.ndarray):
             kept = self._masked(condition)
         else:
-            kept = self._derived(self.df.filter(predicate(condition, self.schema)))
+            rows = self.df
+            if self._indexes:
+                from granary.operators import indexes
+
+                rows = indexes.narrowed(self, condition)
+            kept = self._derived(rows.filter(predicate(condition, self.schema)))
         return kept.select(columns) if columns is not None else kept
 
     view = where
 
+    def coordinates(self, condition: Any) -> DataFrame:
+        """The positions of the rows that meet a condition, as a DataFrame; they are written once and kept until the table changes."""
+        if isinstance(condition, Column):
+            condition = condition.expr
+        text = to_expr(condition).text
+        if text not in self._found:
+            found = self.numbered().df.filter(predicate(condition, self.schema)).select(F.col(POS).alias("position"))
+            self._found[text] = materialize(found, "coordinates")
+        return self._found[text]
+
     def _masked(self, mask: np.ndarray) -> Table:
         if mask.dtype != bool:
             raise TypeError("a mask is boolean")
@@ -268,17 +301,15 @@ class Table:
         return self._sliced(slice(start, stop))
 
     def _sliced(self, key: slice) -> Table:
-        start, stop, step = key.start, key.stop, 1 if key.step is None else key.step
-        if step == 1 and (start or 0) >= 0 and (stop is None or stop >= 0):
+        start, stop, step = key.start or 0, key.stop, 1 if key.step is None else key.step
+        if step == 1 and start >= 0 and stop is not None and 0 <= stop <= MOST_SORTED:
             out = self.df.orderBy(*self.order)
-            if start:
-                out = out.offset(start)
-            return self._derived(out if stop is None else out.limit(max(0, stop - (start or 0))))
+            return self._derived((out.offset(start) if start else out).limit(max(0, stop - start)))
+        if step == 1 and start == 0 and stop is None:
+            return self._derived(self.df)
         start, stop, step = key.indices(len(self))
         found = self.numbered()
-        low, high = (start, stop) if step > 0 else (stop + 1, start + 1)
-        inside = (F.col(POS) >= low) & (F.col(POS) < high) & ((F.col(POS) - start) % abs(step) == 0)
-        kept = found.df.filter(inside)
+        kept = found.df.filter(_in_range(range(start, stop, step)))
         return self._derived(kept if step > 0 else kept.withColumn(POS, -F.col(POS)), order=[F.col(POS)])
 
     def take(self, positions: Sequence[int]) -> Table:
@@ -415,12 +446,17 @@ class Table:
             new = new.withColumn(name, expression.bind(new.schema).col)
         base = self.numbered()
         start = base.df.agg(F.max(POS)).first()[0]
-        new = new.withColumn(POS, F.col(POS) + (0 if start is None else start + 1))
-        self._rebind(base.df.unionByName(new.select(*base.df.columns)), dense=True)
+        new = new.withColumn(POS, F.col(POS) + (0 if start is None else start + 1)).select(*base.df.columns)
+        fresh = [i for i in self._indexes.values() if not i.stale and self.dense]
+        self._rebind(base.df.unionByName(new), dense=True)
+        for index in fresh:
+            index.append(new)
+            index.stale = False
 
     def _rebind(self, df: DataFrame, dense: bool = False) -> None:
         self.df, self.dense = self._with_metadata(df), dense
         self.order = [F.col(POS)]
+        self._found: dict[str, DataFrame] = {}
         for index in self._indexes.values():
             index.stale = True
 
@@ -438,7 +474,8 @@ class Table:
         self._writable()
         size = len(self)
         if isinstance(positions, slice):
-            positions = range(*positions.indices(size))
+            gone = _in_range(range(*positions.indices(size)))
+            return self._rebind(self.numbered().df.filter(~gone))
         wanted = np.atleast_1d(np.asarray(list(positions) if not isinstance(positions, int) else positions, dtype=np.int64))
         wanted = np.where(wanted < 0, wanted + size, wanted)
         if len(wanted) and (wanted.min() < 0 or wanted.max() >= size):
@@ -611,6 +648,18 @@ class Table:
     def index(self, name: str):
         return self._indexes[name]
 
+    def will_use_index(self, condition: Any) -> bool:
+        """Whether ``where`` reads an index for this condition."""
+        from granary.operators import indexes
+
+        return indexes.plan(self, condition) is not None
+
+    def explain(self, condition: Any) -> str:
+        """The physical plan of ``where`` and the index that it reads."""
+        from granary.operators import indexes
+
+        return indexes.explain(self, condition)
+
     @property
     def indexes(self) -> list:
         return list(self._indexes.values())
@@ -717,12 +766,13 @@ class Column:
                 key = range(*key.indices(size))
             elif isinstance(key, np.ndarray) and key.dtype == bool:
                 key = np.flatnonzero(key)
-            key = [int(k) for k in key]
-            if key and (min(key) < 0 or max(key) >= size):
-                raise IndexError("a position is out of bounds")
-            if isinstance(value, list | tuple | np.ndarray):
-                return self._assign_list(base, key, list(value))
-            test = F.col(POS).isin(key)
+            many = isinstance(value, list | tuple | np.ndarray)
+            if many or not isinstance(key, range):
+                key = [int(k) for k in key]
+                if key and (min(key) < 0 or max(key) >= size):
+                    raise IndexError("a position is out of bounds")
+                return self._assign_list(base, key, list(value) if many else [value] * len(key))
+            test = _in_range(key)
         old = F.col(quoted(self.name))
         spec = table.schema[self.name]
         new = base.df.withColumn(self.name, F.when(test, F.lit(value).cast(spec.dataType)).otherwise(old))
@@ -809,7 +859,7 @@ class Column:
     def _position(self, op: str) -> int:
         from granary.operators.groupby import aggregate
 
-        found = self.table.numbered().df.agg(aggregate(self.bound, op, F.col(POS)).alias("p")).first()[0]
+        found = self.table.select([self.name]).numbered().df.agg(aggregate(self.bound, op, F.col(POS)).alias("p")).first()[0]
         if found < 0:
             raise ValueError(f"{op} of no values")
         return found
@@ -831,13 +881,22 @@ class Column:
             raise TypeError(f"{what} needs booleans: {self.name!r} is {self.bound.kind}")
         return self.bound.col
 
+    def unique_frame(self, name: str = "value") -> DataFrame:
+        """The distinct values, nulls left out, as a DataFrame."""
+        return self.table.df.select(self.bound.col.alias(name)).filter(F.col(quoted(name)).isNotNull()).distinct()
+
     def unique(self) -> np.ndarray:
-        values = self.table.df.select(self.bound.col.alias("v")).filter("v is not null").distinct().orderBy("v")
-        return np.array([r.v for r in values.collect()])
+        """The distinct values in order, on the driver; ``unique_frame`` has no bound on their number."""
+        return np.array([r[0] for r in self.unique_frame("v").orderBy("v").collect()])
+
+    def value_counts_frame(self, name: str = "value", count: str = "count") -> DataFrame:
+        """The distinct values and how often each occurs, nulls left out, as a DataFrame."""
+        values = self.table.df.select(self.bound.col.alias(name)).filter(F.col(quoted(name)).isNotNull())
+        return values.groupBy(quoted(name)).agg(F.count(F.lit(1)).alias(count))
 
     def value_counts(self) -> dict:
-        counts = self.table.df.select(self.bound.col.alias("v")).filter("v is not null").groupBy("v").count()
-        return {r.v: r["count"] for r in counts.orderBy(F.desc("count"), "v").collect()}
+        """Values and counts, the most frequent first, on the driver; ``value_counts_frame`` has no bound on their number."""
+        return {r[0]: r[1] for r in self.value_counts_frame("v", "n").orderBy(F.desc("n"), "v").collect()}
 
     def null_count(self) -> int:
         return self._agg(F.count_if(self.bound.col.isNull()))

@@ -31,23 +31,41 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="granary-"))
 
 
-def _folder(spark: SparkSession) -> str:
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables and indexes, which ``release`` deletes."""
     return f"{shared_root(spark)}/granary-{spark.sparkContext.applicationId}"
 
 
+def index_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/indexes"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to a scratch table and return a frame that reads it."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application; results that still read them become unusable."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system Spark reads."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the scratch tables and indexes of this application; results that still read them become unusable."""
+    delete(spark, scratch_folder(spark))
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more, as soon as what was made of them is written."""
+    for df in frames:
+        delete(df.sparkSession, df._scratch_path)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

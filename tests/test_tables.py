@@ -261,3 +261,50 @@ def test_sentinels_become_nulls(spark):
     t = Table.from_rows(spark, Coded, {"code": [1, -999], "x": [float("nan"), 2.0]})
     assert [tuple(r) for r in t] == [(1, None), (None, 2.0)]
     assert isinstance(t.to_pandas(), pd.DataFrame)
+
+
+def test_nan_and_indexes(spark):
+    v = [1.0, 7.0, float("nan"), None, 6.0]
+    for kind in ("SUMMARY", "BUCKET", "PARTIAL", "FULL", "OPSI"):
+        t = Table.from_frame(spark.createDataFrame([(x,) for x in v], "x double"), ordered_by=[F.col("x")]).copy()
+        index = t.create_index("x", kind=kind)
+        for low, high in ((5, None), (None, 6.5), (2, 6), (None, None), (99, None)):
+            bounds = " and ".join([f"x >= {low}"] * (low is not None) + [f"x <= {high}"] * (high is not None)) or "x == x or is_null(x) or isnan(x)"
+            assert sorted(map(str, index.between(low, high)["x"].to_numpy())) == sorted(map(str, t.where(bounds)["x"].to_numpy())), (kind, bounds)
+        assert index.min_max() == (1.0, 7.0) and len(t.where("x >= 5")) == 2
+
+
+def test_where_reads_indexes(spark):
+    df = spark.range(200_000).select("id", (F.col("id") * 7919 % 1000).alias("x"), F.concat(F.lit("n"), F.col("id") % 50).alias("name"))
+    t = Table(df.withColumn("__pos", F.col("id")), dense=True)
+    conditions = ["x < 3", "3 <= x <= 5 and id > 100", col("x") * 2 >= 1990, (col("x") == 7) & (col("name") == "n3"), "name == 'n7' and not (x > 500)", "x < 3 or x > 990", "~(x > 5)"]
+    want = {str(c): sorted(r.id for r in t.where(c).df.select("id").collect()) for c in conditions}
+    assert not any(t.will_use_index(c) for c in conditions)
+    t.create_index("x", kind="BUCKET")
+    t.create_index("name", kind="SUMMARY")
+    t.create_index(expression="x * 2", kind="FULL", name="twice")
+    assert [t.will_use_index(c) for c in conditions] == [True] * 5 + [False] * 2
+    for c in conditions:
+        assert sorted(r.id for r in t.where(c).df.select("id").collect()) == want[str(c)], c
+    assert "Index: twice" in t.explain("x * 2 > 1996") and "Index: none" in t.explain("x > 3 or id == 1")
+    by_id = t.create_index("id", kind="FULL", name="id")
+    files = t.where("id < 10").df.inputFiles()
+    assert files and all(by_id.path in f for f in files)
+    assert t.where("id < 10")[:3].to_pandas()["id"].tolist() == [0, 1, 2]
+    text = t.explain("id < 10")
+    assert "PushedFilters" in text and "LessThan(__indexed,10)" in text
+    t.drop_index("id")
+    assert not t.will_use_index("id < 10")
+
+
+def test_positions_by_range(t):
+    whole = ids(t)
+    own = t.copy()
+    own.delete(slice(1, None, 2))
+    assert ids(own) == whole[::2]
+    own["score"][::2] = 1.5
+    own["score"][[1]] = 7.25
+    assert [r.score for r in own] == [1.5, 7.25, 1.5]
+    assert ids(t[2:]) == whole[2:] and ids(t[:]) == whole and ids(t[9:]) == []
+    assert "Offset" not in t[2:].df._jdf.queryExecution().toString()
+    assert sorted(r.position for r in t.coordinates("score > 60").collect()) == [0, 2, 4]
