@@ -8,6 +8,7 @@ the join, which is broadcasting without copies.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from typing import Any
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from granary.expr import INF, NAN, Bound, Expr, compile_text, kind_of
 from granary.functions import REGISTRY
 from granary.operators.table import dense_positions
+from granary.scratch import materialize
 
 _INT_MIN, _INT_MAX = -(1 << 63), (1 << 63) - 1
 
@@ -212,21 +214,57 @@ class Array:
             df = frame.join(df, self.axes, "left").withColumn("v", F.coalesce("v", F.lit(0).cast(self.dtype)))
         return Array(df, shape)
 
+    def copy(self, dtype: str | None = None) -> Array:
+        """The cells written once, so that the copy no longer depends on how they were made."""
+        kept = Array(materialize(self.df, "array"), self.shape)
+        return kept.astype(dtype) if dtype else kept
+
+    def chunks_touched(self, key: Any, chunks: Sequence[int]) -> list[int]:
+        """Numbers, in C order of a grid of chunks, of those that a key (slices and numbers, an axis each) touches."""
+        key = key if isinstance(key, tuple) else (key,)
+        key = [*key, *[slice(None)] * (self.ndim - len(key))]
+        grid = [math.ceil(n / c) for n, c in zip(self.shape, chunks, strict=True)]
+        places = [range(n)[k] if isinstance(k, slice) else [range(n)[k]] for k, n in zip(key, self.shape, strict=True)]
+        touched = [_chunks_of(at, c) for at, c in zip(places, chunks, strict=True)]
+        return [int(np.ravel_multi_index(at, grid)) for at in itertools.product(*touched)]
+
+    def chunks_info(self, chunks: Sequence[int]) -> DataFrame:
+        """A row per chunk of a grid: its number, cells, and least and greatest value."""
+        number = F.lit(0).cast("long")
+        for name, n, c in zip(self.axes, self.shape, chunks, strict=True):
+            number = number * math.ceil(n / c) + F.floor(F.col(name) / c)
+        return self.df.groupBy(number.alias("chunk")).agg(F.count(F.lit(1)).alias("cells"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+    def create_index(self, kind: str = "FULL"):
+        """An index of the cells by value; its ``between`` gives a table of places and values."""
+        from granary.operators import indexes
+        from granary.operators.table import Table
+
+        cells = Table.from_frame(self.df, ordered_by=[F.col(a) for a in self.axes])
+        return indexes.create(cells, "v", kind=kind)
+
     def append(self, values: Any) -> Array:
         other = values if isinstance(values, Array) else array(self.df.sparkSession, np.asarray(values))
         return concat([self, other], axis=0)
 
-    def write(self, path: str, mode: str = "error") -> None:
-        """Parquet, sorted by place, with the shape beside the type in the schema's metadata."""
+    def write(self, path: str, mode: str = "error", prefilter: Any = None) -> None:
+        """Parquet, sorted by place, with the shape beside the type in the schema's metadata.
+
+        A prefilter is a function of Exprs that the values go through first.
+        """
+        if prefilter is not None:
+            return elementwise(prefilter, self).write(path, mode)
         named = self.df.select(*[F.col(a).alias(a, metadata={"length": n}) for a, n in zip(self.axes, self.shape, strict=True)], "v")
         ordered = named.sortWithinPartitions(*self.axes) if self.ndim else named
         ordered.write.mode(mode).parquet(path)
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Array:
+    def read(spark: SparkSession, path: str, postfilter: Any = None) -> Array:
+        """A written array; a postfilter is a function of Exprs that the values go through when they are read."""
         df = spark.read.parquet(path)
         shape = [f.metadata["length"] for f in df.schema.fields if f.name != "v"]
-        return Array(df, shape)
+        out = Array(df, shape)
+        return out if postfilter is None else elementwise(postfilter, out)
 
     def to_bytes(self) -> bytes:
         """Arrow IPC bytes of the flat values, with the shape in the schema's metadata."""
@@ -256,6 +294,14 @@ class Array:
         raise AttributeError(name)
 
 
+def _chunks_of(places: Sequence[int], length: int) -> list[int]:
+    """Numbers of the chunks of an axis that have one of the places."""
+    if isinstance(places, range) and places and abs(places.step) <= length:
+        low, high = sorted((places[0], places[-1]))
+        return list(range(low // length, high // length + 1))
+    return sorted({p // length for p in places})
+
+
 def _vector(df: DataFrame) -> Array:
     """A vector of the values of df (o, v) in the order of o."""
     placed = dense_positions(df, [F.col("o")], "i0").select("i0", "v")
@@ -333,6 +379,23 @@ def linspace(spark: SparkSession, start: float, stop: float, num: int = 50, endp
     return _from_flat(spark, shape, value)
 
 
+def filled(function: Any, *inputs: Any, dtype: str | None = None) -> Array:
+    """An array filled by a function of Exprs over input arrays and scalars."""
+    out = elementwise(function, *inputs)
+    return out.astype(dtype) if dtype else out
+
+
+def utf8_array(spark: SparkSession, values: Sequence[str | None]) -> Array:
+    """A vector of texts of any length."""
+    rows = [(i, None if v is None else str(v)) for i, v in enumerate(values)]
+    return Array(spark.createDataFrame(rows, "i0 long, v string"), (len(rows),))
+
+
+def to_utf8(x: Array) -> Array:
+    """Fixed-width texts or bytes as texts of any length, without the NUL characters that pad them."""
+    return Array(x.df.withColumn("v", F.rtrim(F.col("v").cast("string"), F.lit("\0"))), x.shape)
+
+
 def eye(spark: SparkSession, n: int, m: int | None = None, k: int = 0) -> Array:
     out = full(spark, (n, m or n), 0)
     return Array(out.df.withColumn("v", F.when(F.col("i0") + k == F.col("i1"), 1.0).otherwise(0.0)), out.shape)
@@ -465,8 +528,8 @@ def reduce(x: Array, op: str, axis: Any = None, keepdims: bool = False, where: A
     """Reduce over one axis, several, or all; ``where`` keeps the cells of a boolean array.
 
     min and max of no cells give the identity of their type, sums 0, products
-    1, means NaN. argmin and argmax give the first place on ties, in C order
-    without an axis.
+    1, means NaN. A NaN among the cells is their min and max. argmin and
+    argmax give the first place on ties, in C order without an axis.
     """
     axes = range(x.ndim) if axis is None else [axis] if isinstance(axis, int) else axis
     gone = sorted({_normal(a, x.ndim) for a in axes})
@@ -483,7 +546,10 @@ def reduce(x: Array, op: str, axis: Any = None, keepdims: bool = False, where: A
         if axis is not None and len(gone) > 1:
             raise ValueError("argmin and argmax take one axis")
         place = x.flat_index() if axis is None else F.col(x.axes[gone[0]])
-        signed = F.struct(value.alias("v"), place.alias("p")) if op == "argmin" else F.struct(value.alias("v"), (-place).alias("p"))
+        first = place if op == "argmin" else -place
+        # NaN is above all in Spark's order and decides both extremes in NumPy
+        number = F.isnan(value).cast("int") if x.kind == "float" else F.lit(0)
+        signed = F.struct((-number if op == "argmin" else number).alias("n"), value.alias("v"), first.alias("p"))
         best = (F.min if op == "argmin" else F.max)(F.when(value.isNotNull(), signed))["p"]
         stat = best if op == "argmin" else -best
     else:
@@ -529,34 +595,51 @@ def _statistic(op: str, kind: str, value: Column, ddof: int) -> Column:
         return var if op == "var" else F.sqrt(var)
     identity = {"float": (INF, -INF), "int": (_INT_MAX, _INT_MIN), "bool": (True, False)}[kind]
     if op == "min":
-        return F.coalesce(F.min(value), F.lit(identity[0]))
+        least = F.coalesce(F.min(value), F.lit(identity[0]))
+        return F.when(F.bool_or(F.isnan(value)), F.lit(NAN)).otherwise(least) if kind == "float" else least
     return F.coalesce(F.max(value), F.lit(identity[1]))
 
 
-def _cumulative(x: Array, along: int | None, stat: Any, include_initial: bool, start: Any) -> Array:
+#: Places of an axis that one window group covers at most.
+BLOCK = 65_536
+
+
+def _cumulative(x: Array, along: int | None, stat: Any, combine: Any, include_initial: bool, start: Any) -> Array:
+    """Running totals. A long axis is cut into blocks, whose totals are carried over, so no task sees it whole."""
     if along is None:
         if x.ndim > 1:
             x = reshape(x, (x.size,))
         along = 0
     along = _normal(along, x.ndim)
+    place = F.col(x.axes[along])
     others = [a for i, a in enumerate(x.axes) if i != along]
-    w = Window.partitionBy(*others).orderBy(x.axes[along]).rowsBetween(Window.unboundedPreceding, 0)
-    out = x.df.withColumn("v", stat(F.col("v")).over(w))
+    upto = lambda names: Window.partitionBy(*names).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    if x.shape[along] <= BLOCK:
+        out = x.df.withColumn("v", stat(F.col("v")).over(upto(others)))
+    else:
+        keys = [*others, "__block"]
+        blocked = x.df.withColumn("__block", F.floor(place / BLOCK))
+        earlier = Window.partitionBy(*others).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        totals = blocked.groupBy(*keys).agg(stat(F.col("v")).alias("__total"))
+        totals = totals.select(*keys, stat(F.col("__total")).over(earlier).alias("__base"))
+        inside = blocked.withColumn("v", stat(F.col("v")).over(upto(keys))).join(totals, keys)
+        value = F.when(F.col("__base").isNull(), F.col("v")).otherwise(combine(F.col("__base"), F.col("v")))
+        out = inside.select(*x.axes, value.alias("v"))
     shape = list(x.shape)
     if include_initial:
-        out = out.withColumn(x.axes[along], F.col(x.axes[along]) + 1)
-        first = x.df.filter(F.col(x.axes[along]) == 0).withColumn("v", F.lit(start).cast(out.schema["v"].dataType))
+        out = out.withColumn(x.axes[along], place + 1)
+        first = x.df.filter(place == 0).withColumn("v", F.lit(start).cast(out.schema["v"].dataType))
         out = out.unionByName(first)
         shape[along] += 1
     return Array(out, shape)
 
 
 def cumulative_sum(x: Array, axis: int | None = None, include_initial: bool = False) -> Array:
-    return _cumulative(x, axis, F.sum, include_initial, 0)
+    return _cumulative(x, axis, F.sum, lambda base, v: base + v, include_initial, 0)
 
 
 def cumulative_prod(x: Array, axis: int | None = None, include_initial: bool = False) -> Array:
-    return _cumulative(x, axis, F.product, include_initial, 1)
+    return _cumulative(x, axis, F.product, lambda base, v: base * v, include_initial, 1)
 
 
 # Shape
@@ -700,8 +783,56 @@ def iter_sorted(x: Array, start: int | None = None, stop: int | None = None, ste
 # Linear algebra
 
 
+#: Rows and columns of a tile of a matrix.
+TILE = 128
+
+
+def _tiles(df: DataFrame, groups: list[str], row: str, column: str, value: str, names: tuple[str, str, str]) -> DataFrame:
+    """A row per tile: its place in the grid of tiles, and its cells as (position, value)."""
+    place = ((F.col(row) % TILE) * TILE + F.col(column) % TILE).cast("int")
+    cells = df.select(
+        *groups,
+        F.floor(F.col(row) / TILE).alias(names[0]),
+        F.floor(F.col(column) / TILE).alias(names[1]),
+        F.struct(place.alias("at"), F.col(value).cast("double").alias("v")).alias("cell"),
+    )
+    return cells.groupBy(*groups, names[0], names[1]).agg(F.collect_list("cell").alias(names[2]))
+
+
+def _tile_products(left: DataFrame, right: DataFrame, groups: list[str], shape: tuple[int, int, int]) -> DataFrame:
+    """Partial sums __p of cells (__r, __c), one for each tile of the contracted axis.
+
+    A cell is shuffled once per tile of the other operand instead of once per
+    row or column of it, and a product of tiles is one NumPy call.
+    """
+    one = _tiles(left, groups, "__r", "__k", "__a", ("__rt", "__kt", "__left"))
+    two = _tiles(right, groups, "__k", "__c", "__b", ("__kt", "__ct", "__right"))
+    joined = one.join(two, [*groups, "__kt"]).select(*groups, "__rt", "__ct", "__left", "__right")
+    rows, _, columns = shape
+
+    def dense(cells: pa.Scalar) -> np.ndarray:
+        flat = cells.values.flatten()
+        out = np.zeros(TILE * TILE)
+        out[flat[0].to_numpy(zero_copy_only=False)] = flat[1].to_numpy(zero_copy_only=False)
+        return out.reshape(TILE, TILE)
+
+    def multiply(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                product = dense(batch["__left"][i]) @ dense(batch["__right"][i])
+                r0, c0 = batch["__rt"][i].as_py() * TILE, batch["__ct"][i].as_py() * TILE
+                product = product[: rows - r0, : columns - c0]
+                r, c = np.indices(product.shape)
+                cells = {g: pa.repeat(batch[g][i], product.size) for g in groups}
+                cells |= {"__r": pa.array(r.ravel() + r0), "__c": pa.array(c.ravel() + c0), "__p": pa.array(product.ravel())}
+                yield pa.RecordBatch.from_pydict(cells)
+
+    schema = ", ".join([*(f"{g} bigint" for g in groups), "__r bigint, __c bigint, __p double"])
+    return joined.mapInArrow(multiply, schema)
+
+
 def matmul(x1: Array, x2: Array) -> Array:
-    """Matrix product, also of vectors and stacks, as a join on the contracted axis and a grouped sum."""
+    """Matrix product, also of vectors and stacks: a join of tiles (cells, unless both are floats) on the contracted axis and a grouped sum."""
     if not x1.ndim or not x2.ndim:
         raise ValueError("matmul takes arrays with axes")
     a = expand_dims(x1, 0) if x1.ndim == 1 else x1
@@ -714,7 +845,11 @@ def matmul(x1: Array, x2: Array) -> Array:
     groups = [f"i{k}" for k in range(n)]
     left = a.df.select(*groups, F.col(f"i{n}").alias("__r"), F.col(f"i{n + 1}").alias("__k"), F.col("v").alias("__a"))
     right = b.df.select(*groups, F.col(f"i{n}").alias("__k"), F.col(f"i{n + 1}").alias("__c"), F.col("v").alias("__b"))
-    summed = left.join(right, [*groups, "__k"]).groupBy(*groups, "__r", "__c").agg(F.sum(F.col("__a") * F.col("__b")).alias("v"))
+    if x1.kind == x2.kind == "float":
+        products = _tile_products(left, right, groups, (a.shape[-2], a.shape[-1], b.shape[-1]))
+    else:
+        products = left.join(right, [*groups, "__k"]).select(*groups, "__r", "__c", (F.col("__a") * F.col("__b")).alias("__p"))
+    summed = products.groupBy(*groups, "__r", "__c").agg(F.sum("__p").alias("v"))
     out = Array(
         summed.select(*groups, F.col("__r").alias(f"i{n}"), F.col("__c").alias(f"i{n + 1}"), "v"),
         (*stack_shape, a.shape[-2], b.shape[-1]),
@@ -737,14 +872,19 @@ def tensordot(x1: Array, x2: Array, axes: Any = 2) -> Array:
     if [x1.shape[a] for a in one] != [x2.shape[a] for a in two]:
         raise ValueError("contracted axes differ in length")
     free1, free2 = [i for i in range(x1.ndim) if i not in one], [i for i in range(x2.ndim) if i not in two]
+    shape1, shape2 = [x1.shape[i] for i in free1], [x2.shape[i] for i in free2]
+    if one and x1.kind == x2.kind == "float":
+        inner = math.prod(x1.shape[i] for i in one)
+        left = reshape(permute_dims(x1, [*free1, *one]), (math.prod(shape1), inner))
+        right = reshape(permute_dims(x2, [*two, *free2]), (inner, math.prod(shape2)))
+        return reshape(matmul(left, right), [*shape1, *shape2])
     left = x1.df.select(*[F.col(f"i{i}").alias(f"__f{k}") for k, i in enumerate(free1)], *[F.col(f"i{i}").alias(f"__k{k}") for k, i in enumerate(one)], F.col("v").alias("__a"))
     right = x2.df.select(*[F.col(f"i{i}").alias(f"__g{k}") for k, i in enumerate(free2)], *[F.col(f"i{i}").alias(f"__k{k}") for k, i in enumerate(two)], F.col("v").alias("__b"))
     names = [f"__f{k}" for k in range(len(free1))] + [f"__g{k}" for k in range(len(free2))]
     joined = left.join(right, [f"__k{k}" for k in range(len(one))]) if one else left.crossJoin(right)
     total = F.sum(F.col("__a") * F.col("__b")).alias("v")
     out = joined.groupBy(*names).agg(total) if names else joined.agg(total)
-    shape = [x1.shape[i] for i in free1] + [x2.shape[i] for i in free2]
-    return Array(out.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate(names)], "v"), shape)
+    return Array(out.select(*[F.col(n).alias(f"i{k}") for k, n in enumerate(names)], "v"), [*shape1, *shape2])
 
 
 def vecdot(x1: Array, x2: Array, axis: int = -1) -> Array:

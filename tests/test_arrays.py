@@ -151,3 +151,47 @@ def test_random(spark):
     np.testing.assert_allclose(g.dirichlet([1.0, 2.0], shape=(5,)).to_numpy().sum(axis=1), np.ones(5))
     m = np.arange(12).reshape(3, 4)
     assert (np.sort(g.permuted(m, axis=1).to_numpy(), axis=1) == m).all()
+
+
+def test_nan_decides_extremes(spark):
+    v = np.array([[1.0, np.nan, 0.5], [3.0, 2.0, 7.0]])
+    a = nd.array(spark, v)
+    for op in ("min", "max", "argmin", "argmax"):
+        for axis in (None, 0, 1):
+            same(getattr(a, op)(axis=axis), getattr(np, op)(v, axis=axis))
+
+
+def test_running_totals_of_long_axes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    v = np.random.default_rng(2).normal(size=(3, 11))
+    a = nd.array(spark, v)
+    same(nd.cumulative_sum(a, axis=1), np.cumsum(v, axis=1))
+    same(nd.cumulative_sum(a), np.cumsum(v))
+    same(nd.cumulative_prod(a, axis=1), np.cumprod(v, axis=1))
+    whole = nd.arange(spark, 10)
+    same(nd.cumulative_sum(whole, include_initial=True), np.concatenate([[0], np.cumsum(np.arange(10))]))
+    assert "SinglePartition" not in nd.cumulative_sum(a, axis=1).df._jdf.queryExecution().toString()
+
+
+def test_products_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TILE", 4)
+    draw = np.random.default_rng(3)
+    v, w = draw.normal(size=(7, 9)), draw.normal(size=(9, 5))
+    got = nd.matmul(nd.array(spark, v), nd.array(spark, w))
+    np.testing.assert_allclose(got.to_numpy(), v @ w, rtol=1e-9, atol=1e-12)
+    stack, one = draw.normal(size=(2, 5, 6)), draw.normal(size=6)
+    np.testing.assert_allclose(nd.matmul(nd.array(spark, stack), nd.array(spark, one)).to_numpy(), stack @ one, rtol=1e-9, atol=1e-12)
+    whole = np.arange(12).reshape(3, 4)
+    assert (nd.matmul(nd.array(spark, whole), nd.array(spark, whole.T)).to_numpy() == whole @ whole.T).all()
+
+
+def test_chunk_facts(spark, x):
+    a = nd.arange(spark, 60, shape=(6, 10))
+    assert a.chunks_touched((slice(1, 4), 3), (2, 4)) == [0, 3]
+    assert a.chunks_touched((slice(None, None, 5), slice(8, None)), (2, 4)) == [2, 8]
+    assert a.chunks_touched(5, (2, 4)) == [6, 7, 8] and a.chunks_touched(slice(3, 3), (2, 4)) == []
+    assert {r.chunk: (r.cells, r.low, r.high) for r in a.chunks_info((3, 10)).collect()} == {0: (30, 0, 29), 1: (30, 30, 59)}
+    same(x.copy(), X)
+    assert list(nd.to_utf8(nd.utf8_array(spark, ["a\0\0", "é"])).to_numpy()) == ["a", "é"]
+    found = a.create_index("BUCKET").between(57, None).frame.collect()
+    assert sorted(r.v for r in found) == [57, 58, 59]
