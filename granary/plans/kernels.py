@@ -4,14 +4,13 @@ A kernel is a function of numbers with assignments, ``if``, ``for`` over a
 ``range`` of constants, and ``return``. It becomes one Spark expression: both
 branches of an ``if`` are built and joined by ``where``, loops are unrolled.
 A kernel with ``while``, ``break`` or ``continue`` has no such form and runs
-element by element in a pandas UDF.
+on Arrow batches as masked NumPy operations.
 """
 
 from __future__ import annotations
 
 import ast
 import inspect
-import math
 import textwrap
 from collections.abc import Callable
 from typing import Any
@@ -21,9 +20,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.expr import Bound, Expr, as_double, kind_of, lift, lit
+from granary.expr import Bound, Expr, as_double, col, kind_of, lift, lit
 from granary.expr import _compile as compile_node
 from granary.functions import REGISTRY
+from granary.plans.masked import Masked
 
 #: Loops of more steps are not unrolled.
 MOST_STEPS = 256
@@ -166,7 +166,7 @@ class Kernel:
         if len(operands) != len(self.arguments):
             raise TypeError(f"{self.name} takes {len(self.arguments)} arguments")
         if self.stepwise:
-            return self._by_element(*operands)
+            return self._in_blocks(*operands)
         names = {a: o for a, o in zip(self.arguments, operands, strict=True)}
         body = _Casts().visit(_parse(self.source)).body
         _, done, result = _Builder().run(body, names, None, None)
@@ -174,21 +174,17 @@ class Kernel:
             raise KernelError(f"{self.name} returns nothing")
         return result if isinstance(result, Expr) else lit(result)
 
-    def _by_element(self, *operands: Any) -> Expr:
-        source, name, count = self.source, self.tree.name, len(self.arguments)
+    def _in_blocks(self, *operands: Any) -> Expr:
+        """Arrow batches as NumPy arrays, with masks for the elements that are still in a branch or a loop."""
+        body, arguments = self.tree.body, self.arguments
+        if not arguments:
+            raise KernelError("a kernel has an argument")
 
         def run(*columns: pd.Series) -> pd.Series:
-            space: dict[str, Any] = {n: getattr(math, n) for n in dir(math) if not n.startswith("_")} | {"abs": abs}
-            stripped = ast.parse(source).body
-            function = next(n for n in stripped if isinstance(n, ast.FunctionDef))
-            function.decorator_list = []
-            exec(compile(ast.Module([function], []), "<kernel>", "exec"), space)  # noqa: S102  checked by _parse
-            return pd.Series([float(space[name](*row)) for row in zip(*columns, strict=True)])
+            return pd.Series(Masked(arguments, [c.to_numpy(dtype=np.float64) for c in columns]).run(body))
 
         run.__annotations__ = {}
         udf = F.pandas_udf(run, T.DoubleType(), F.PandasUDFType.SCALAR)
-        if count == 0:
-            raise KernelError("a kernel has an argument")
         return lift(lambda *bounds: Bound(udf(*[as_double(b) for b in bounds]), "float"), self.name, *operands)
 
 
@@ -212,6 +208,23 @@ def validate_kernel(function: Callable | str) -> dict:
     return {"valid": True, "error": None, "arguments": kernel.arguments, "stepwise": kernel.stepwise}
 
 
+def validate_compiled(function: Callable | str, **dtypes: str) -> dict:
+    """Whether a kernel becomes one Spark expression over columns of the given types: {valid, error, expression}."""
+    found = validate_kernel(function)
+    if not found["valid"]:
+        return {"valid": False, "error": found["error"], "expression": None}
+    kernel = Kernel(function if isinstance(function, str) else inspect.getsource(function))
+    if kernel.stepwise:
+        return {"valid": False, "error": f"{kernel.name} has loops that depend on its data", "expression": None}
+    schema = T.StructType([T.StructField(a, T._parse_datatype_string(dtypes.get(a, "double"))) for a in kernel.arguments])
+    try:
+        expression = kernel(*[col(a) for a in kernel.arguments])
+        expression.bind(schema)
+    except (KernelError, ValueError, TypeError) as error:
+        return {"valid": False, "error": str(error), "expression": None}
+    return {"valid": True, "error": None, "expression": expression}
+
+
 def lazyudf(function: Callable, *operands: Any, dtype: str = "double") -> Expr:
     """A function of NumPy blocks as an expression: it gets an array per operand and gives one of their length.
 
