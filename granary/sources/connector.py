@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import itertools
 import math
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from granary.operators.ndarray import Array
+from granary.scratch import materialize
 
 
 class ChunkSource(ABC):
@@ -81,15 +83,18 @@ class _Reader(DataSourceReader):
         yield pa.RecordBatch.from_pydict(columns | {"v": pa.array(block.reshape(-1), kind)})
 
 
-def read_source(spark: SparkSession, source: ChunkSource, key: Sequence[slice] | None = None) -> Array:
-    """The array of a source; with slices only the chunks that they touch are fetched."""
+def _touched(source: ChunkSource, key: Sequence[slice] | None) -> list[tuple[int, ...]]:
+    """Places, in the grid, of the chunks that slices touch, or of all."""
     grid = [range(math.ceil(n / c)) for n, c in zip(source.shape, source.chunks, strict=True)]
     if key is not None:
         stretches = [k.indices(n) for k, n in zip(key, source.shape, strict=True)]
         grid = [range(a // c, math.ceil(b / c)) for (a, b, _), c in zip(stretches, source.chunks, strict=True)]
-    wanted = list(itertools.product(*grid))
+    return list(itertools.product(*grid))
+
+
+def _read(spark: SparkSession, source: ChunkSource, wanted: Sequence[tuple[int, ...]]) -> Array:
     kind = "double" if source.dtype.kind == "f" else "long"
-    name = f"granary_chunks_{id(source)}"
+    name = f"granary_chunks_{uuid.uuid4().hex}"
 
     class Source(DataSource):
         @classmethod
@@ -103,10 +108,78 @@ def read_source(spark: SparkSession, source: ChunkSource, key: Sequence[slice] |
             return _Reader(source, wanted)
 
     spark.dataSource.register(Source)
-    out = Array(spark.read.format(name).load(), source.shape)
+    return Array(spark.read.format(name).load(), source.shape)
+
+
+def read_source(spark: SparkSession, source: ChunkSource, key: Sequence[slice] | None = None) -> Array:
+    """The array of a source; with slices only the chunks that they touch are fetched."""
+    out = _read(spark, source, _touched(source, key))
     return out if key is None else out[tuple(key)]
 
 
+class ByteRangeSource(ChunkSource):
+    """A raw array in C order inside a file that pyarrow opens: a local path or a URI (file, s3, gs, hdfs).
+
+    Executors read only the byte ranges of their chunks. ``filesystem`` takes
+    a pyarrow file system, also one that wraps an fsspec one.
+    """
+
+    def __init__(self, uri: str, shape: Sequence[int], chunks: Sequence[int], dtype: Any = "<f8", offset: int = 0, filesystem: Any = None):
+        self.uri, self._shape, self._chunks = uri, tuple(shape), tuple(chunks)
+        self._dtype, self.offset, self.filesystem = np.dtype(dtype), offset, filesystem
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self._shape
+
+    @property
+    def chunks(self) -> tuple[int, ...]:
+        return self._chunks
+
+    @property
+    def dtype(self) -> np.dtype:
+        return self._dtype
+
+    def get_chunk(self, index: tuple[int, ...]) -> np.ndarray:
+        from pyarrow import fs
+
+        system, path = (self.filesystem, self.uri) if self.filesystem else fs.FileSystem.from_uri(self.uri)
+        starts = [i * c for i, c in zip(index, self._chunks, strict=True)]
+        sizes = [min(c, n - a) for a, c, n in zip(starts, self._chunks, self._shape, strict=True)]
+        strides = [math.prod(self._shape[k + 1 :]) for k in range(len(self._shape))]
+        # axes behind the last one that the chunk cuts lie side by side in the file
+        cut = max((k for k, (m, n) in enumerate(zip(sizes, self._shape, strict=True)) if m != n), default=0)
+        run = math.prod(sizes[cut:])
+        out = np.empty(math.prod(sizes), dtype=self._dtype)
+        with system.open_input_file(path) as file:
+            for k, outer in enumerate(itertools.product(*map(range, sizes[:cut]))):
+                place = sum((a + o) * s for a, o, s in zip(starts, [*outer, *[0] * (len(sizes) - cut)], strides, strict=True))
+                raw = file.read_at(run * self._dtype.itemsize, self.offset + place * self._dtype.itemsize)
+                out[k * run : (k + 1) * run] = np.frombuffer(raw, dtype=self._dtype)
+        return out.reshape(sizes)
+
+
+class Proxy:
+    """A source with a cache: chunks that were fetched once are read from scratch tables."""
+
+    def __init__(self, spark: SparkSession, source: ChunkSource):
+        self.spark, self.source = spark, source
+        self.held: set[tuple[int, ...]] = set()
+        self._cells: DataFrame | None = None
+
+    def fetch(self, key: Sequence[slice] | None = None) -> Array:
+        """The array, or what slices choose of it; only chunks that are not in the cache are asked of the source."""
+        missing = [c for c in _touched(self.source, key) if c not in self.held]
+        if missing:
+            fresh = materialize(_read(self.spark, self.source, missing).df, "proxy")
+            self._cells = fresh if self._cells is None else self._cells.unionByName(fresh)
+            self.held |= set(missing)
+        if self._cells is None:
+            self._cells = _read(self.spark, self.source, []).df
+        out = Array(self._cells, self.source.shape)
+        return out if key is None else out[tuple(key)]
+
+
 def cached(x: Array) -> Array:
     """The array with its cells kept on the executors' disks after the first read."""
     from pyspark import StorageLevel

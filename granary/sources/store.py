@@ -165,6 +165,62 @@ class Store:
     def _save(self) -> None:
         self.files.write(self.MANIFEST, json.dumps(self._entries))
 
+    # Copies
+
+    def copy_to(self, root: str, overwrite: bool = False) -> Store:
+        """The whole store as another folder, copied file by file."""
+        fs, source = self.files._at("")
+        target = self.files.jvm.org.apache.hadoop.fs.Path(root)
+        to = target.getFileSystem(self.files.conf)
+        if to.exists(target):
+            if not overwrite:
+                raise FileExistsError(root)
+            to.delete(target, True)
+        self.files.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, to, target, False, self.files.conf)
+        return Store(self.spark, root, "a")
+
+    def pack(self, path: str, overwrite: bool = False) -> str:
+        """The whole store as one zip file, streamed through the driver a buffer at a time."""
+        jvm, (fs, source) = self.files.jvm, self.files._at("")
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        to = target.getFileSystem(self.files.conf)
+        if to.exists(target) and not overwrite:
+            raise FileExistsError(path)
+        out = jvm.java.util.zip.ZipOutputStream(to.create(target, True))
+        prefix = fs.makeQualified(source).toString().rstrip("/") + "/"
+        found = fs.listFiles(source, True)
+        while found.hasNext():
+            file = found.next().getPath()
+            out.putNextEntry(jvm.java.util.zip.ZipEntry(file.toString().removeprefix(prefix)))
+            stream = fs.open(file)
+            jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out)
+            stream.close()
+            out.closeEntry()
+        out.close()
+        return path
+
+    @classmethod
+    def unpack(cls, spark: SparkSession, path: str, root: str, overwrite: bool = False) -> Store:
+        """A store from a zip file that ``pack`` wrote, in a folder of its own."""
+        files = _Files(spark, root)
+        fs, target = files._at("")
+        if fs.exists(target):
+            if not overwrite:
+                raise FileExistsError(root)
+            fs.delete(target, True)
+        source = files.jvm.org.apache.hadoop.fs.Path(path)
+        stream = files.jvm.java.util.zip.ZipInputStream(source.getFileSystem(files.conf).open(source))
+        while (entry := stream.getNextEntry()) is not None:
+            name = entry.getName()
+            if name.startswith("/") or ".." in name.split("/"):
+                raise ValueError(f"a file outside the store: {name!r}")
+            _, place = files._at(name)
+            out = fs.create(place, True)
+            files.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out)
+            out.close()
+        stream.close()
+        return cls(spark, root)
+
     # Tree
 
     def get_children(self, path: str = "/") -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 from typing import Any
 
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from granary import schema as S
 from granary.expr import quoted
 from granary.operators.table import POS, Table
+from granary.scratch import scratch_folder
 
 
 def _ordered_by_file(df: DataFrame) -> DataFrame:
@@ -123,13 +125,39 @@ def from_pandas(spark: SparkSession, pdf: pd.DataFrame) -> Table:
     return Table(spark.createDataFrame(numbered), dense=True)
 
 
+#: Rows of an Arrow stream that the driver holds at once.
+STREAM_ROWS = 500_000
+
+
 def from_arrow(spark: SparkSession, data: Any, batches: Iterable[pa.RecordBatch] | None = None) -> Table:
-    """A table of a pyarrow Table, a schema with batches, or anything with an Arrow stream."""
-    if batches is not None:
-        data = pa.Table.from_batches(list(batches), schema=data)
-    elif not isinstance(data, pa.Table):
-        data = pa.RecordBatchReader.from_stream(data).read_all()
-    return Table(spark.createDataFrame(data.append_column(POS, pa.array(range(data.num_rows), pa.int64()))), dense=True)
+    """A table of a pyarrow Table, a schema with batches, or anything with an Arrow stream.
+
+    Streams are written to a scratch table in stretches, so the driver holds
+    no more than STREAM_ROWS rows and one batch of them.
+    """
+    if isinstance(data, pa.Table):
+        return Table(spark.createDataFrame(data.append_column(POS, pa.array(range(data.num_rows), pa.int64()))), dense=True)
+    if batches is None:
+        data = pa.RecordBatchReader.from_stream(data)
+        batches, schema = data, data.schema
+    else:
+        schema = data
+    path, held, rows, start = f"{scratch_folder(spark)}/arrow-{uuid.uuid4().hex}", [], 0, 0
+
+    def flush() -> None:
+        part = pa.Table.from_batches(held, schema=schema)
+        part = part.append_column(POS, pa.array(range(start, start + part.num_rows), pa.int64()))
+        spark.createDataFrame(part).write.mode("append").parquet(path)
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= STREAM_ROWS:
+            flush()
+            start, rows, held = start + rows, 0, []
+    if held or not start:
+        flush()
+    return Table(spark.read.parquet(path), dense=True)
 
 
 def iter_arrow_batches(table: Table, rows: int = 65_536) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ from granary import schema as S
 from granary.expr import col
 from granary.operators import ndarray as nd
 from granary.operators.table import Table
-from granary.plans import KernelError, dsl_kernel, jit, kernel_from_source, validate_kernel
-from granary.sources import connector, tabular
+from granary.plans import KernelError, dsl_kernel, jit, kernel_from_source, validate_compiled, validate_kernel
+from granary.sources import codecs, connector, tabular
 from granary.sources.store import Store, load_table, open_table, save_table
 from granary.streaming import Follower, follow, windowed_counts
 
@@ -152,3 +152,83 @@ def test_growth(spark, tmp_path):
     events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0)], "t string, event_type string, value double")
     got = windowed_counts(events.withColumn("ts", F.to_timestamp("t"))).collect()
     assert len(got) == 1 and got[0].events == 2 and got[0].total == 3.0
+
+
+def test_byte_ranges(spark, tmp_path):
+    x = np.arange(4 * 6 * 5, dtype="<f8").reshape(4, 6, 5)
+    path = tmp_path / "raw"
+    path.write_bytes(b"head" + x.tobytes())
+    for chunks in ((2, 4, 5), (3, 2, 2), (1, 6, 5), (4, 6, 5)):
+        source = connector.ByteRangeSource(path.as_uri(), x.shape, chunks, "<f8", offset=4)
+        assert (connector.read_source(spark, source).to_numpy() == x).all(), chunks
+    part = connector.read_source(spark, source, (slice(1, 3), slice(0, 2), slice(4, 5)))
+    assert (part.to_numpy() == x[1:3, :2, 4:5]).all()
+
+
+def test_proxy_fetches_once(spark):
+    x = np.arange(35.0).reshape(5, 7)
+    proxy = connector.Proxy(spark, connector.NumpySource(x, (2, 3)))
+    assert (proxy.fetch((slice(0, 2), slice(0, 3))).to_numpy() == x[:2, :3]).all() and proxy.held == {(0, 0)}
+    assert (proxy.fetch((slice(1, 4), slice(2, 6))).to_numpy() == x[1:4, 2:6]).all() and proxy.held == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert (proxy.fetch().to_numpy() == x).all() and len(proxy.held) == 9
+
+
+def test_codecs():
+    raw = bytes(range(256)) * 20
+    codecs.register_codec("backwards", lambda b: b[::-1], lambda b: b[::-1])
+    codecs.register_filter("flip", lambda b: bytes(255 - x for x in b), lambda b: bytes(255 - x for x in b))
+    for name in ("zstd", "lz4", "gzip", "backwards"):
+        packed = codecs.compress(raw, name, ["flip"])
+        assert codecs.decompress(packed) == raw and (name == "backwards" or len(packed) < len(raw))
+    for bad in ("backwards", "a,b", ""):
+        with pytest.raises(ValueError):
+            codecs.register_codec(bad, bytes, bytes)
+
+
+def test_arrow_streams_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(tabular, "STREAM_ROWS", 10)
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(k, k + 7))}) for k in range(0, 70, 7)]
+    back = tabular.from_arrow(spark, batches[0].schema, iter(batches))
+    assert [r.x for r in back] == list(range(70))
+    assert tabular.from_arrow(spark, batches[0].schema, iter([])).columns == ["x"]
+
+
+def test_packed_store(spark, t, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), "w")
+    s["a/t"] = t.select(["id"]).copy()
+    packed = s.pack(str(tmp_path / "s.zip"))
+    with pytest.raises(FileExistsError):
+        s.pack(packed)
+    for other in (Store.unpack(spark, packed, str(tmp_path / "u")), s.copy_to(str(tmp_path / "c"))):
+        assert rows(other["a/t"]) == [(1,), (2,), (3,)]
+    with pytest.raises(FileExistsError):
+        s.copy_to(str(tmp_path / "c"))
+
+
+def test_masked_kernels(spark):
+    source = """
+def f(a, b):
+    total = 0
+    for i in range(6):
+        if i == 1:
+            continue
+        if total > b:
+            break
+        total += a * i
+    else:
+        total = -total
+    n = 0
+    while n < 50 and total > 10:
+        n += 1
+        total = total - 10 if total > 20 else total / 2
+        if n == 7:
+            return -1
+    return min(total, 99.5) + n // 2
+"""
+    space = {}
+    exec(source, space)  # noqa: S102
+    data = [(a / 3, float(b)) for a in range(-4, 40, 3) for b in (0, 5, 40)]
+    t = Table.from_frame(spark.createDataFrame(data, "a double, b double").coalesce(1))
+    assert [r.k for r in t.assign(k=kernel_from_source(source)(col("a"), col("b")))] == pytest.approx([space["f"](a, b) for a, b in data])
+    assert not validate_compiled(source)["valid"] and validate_compiled("def g(a):\n    return a + 1", a="bigint")["valid"]
+    assert not validate_compiled("def g(a):\n    return a + 1", a="array<int>")["valid"]
