@@ -8,31 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.expr import col
-from granary.operators import ndarray as nd
-from granary.operators import rows
-from granary.operators.table import Column, Table, concat, dense_positions, minmax_buckets
+from granary.operators.table import Column, Table, concat, minmax_buckets
 from granary.plans import kernel_from_source
-from granary.sources import tabular
+from granary.registry import one_row, query, registered_queries, registered_sql, table
 from granary.streaming import windowed_counts
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(function: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[function.__name__] = function
-        if sql is not None:
-            _SQL[function.__name__] = sql
-        return function
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> Table:
-    return tabular.read_parquet(spark, f"{sf_dir}/{name}.parquet")
-
-
 # Projection, filter, row selection
 
 
@@ -234,36 +214,32 @@ def agg_global(spark, sf_dir):
     )
 
 
-def _one(spark: SparkSession, **values) -> DataFrame:
-    return spark.createDataFrame([tuple(values.values())], list(values))
-
-
 @query("SELECT round(sum(l_extendedprice), 2) AS total, round(avg(l_extendedprice), 6) AS mean FROM lineitem WHERE l_quantity < 10")
 def agg_where(spark, sf_dir):
     c: Column = table(spark, sf_dir, "lineitem")["l_extendedprice"]
-    return _one(spark, t=float(c.sum(where="l_quantity < 10")), m=c.mean(where="l_quantity < 10")).select(F.round("t", 2).alias("total"), F.round("m", 6).alias("mean"))
+    return one_row(spark, t=float(c.sum(where="l_quantity < 10")), m=c.mean(where="l_quantity < 10")).select(F.round("t", 2).alias("total"), F.round("m", 6).alias("mean"))
 
 
 @query("SELECT round(covar_samp(l_quantity, l_extendedprice), 4) AS qp, round(var_samp(l_quantity), 6) AS qq FROM lineitem")
 def agg_cov(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(["l_quantity", "l_extendedprice"]).cov()
-    return _one(spark, qp=float(c[0, 1]), qq=float(c[0, 0])).select(F.round("qp", 4).alias("qp"), F.round("qq", 6).alias("qq"))
+    return one_row(spark, qp=float(c[0, 1]), qq=float(c[0, 0])).select(F.round("qp", 4).alias("qp"), F.round("qq", 6).alias("qq"))
 
 
 @query("SELECT DISTINCT o_orderpriority AS v FROM orders")
 def agg_unique(spark, sf_dir):
-    return spark.createDataFrame([(str(v),) for v in table(spark, sf_dir, "orders")["o_orderpriority"].unique()], "v string")
+    return table(spark, sf_dir, "orders")["o_orderpriority"].unique_frame("v")
 
 
 @query("SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1")
 def agg_value_counts(spark, sf_dir):
-    return spark.createDataFrame(list(table(spark, sf_dir, "events")["event_type"].value_counts().items()), "v string, n long")
+    return table(spark, sf_dir, "events")["event_type"].value_counts_frame("v", "n")
 
 
 @query("""SELECT count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem""")
 def agg_describe(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").select(["l_quantity"]).describe().loc["l_quantity"]
-    one = _one(spark, n=int(d["count"]), mean=float(d["mean"]), std=float(d["std"]), low=float(d["min"]), high=float(d["max"]))
+    one = one_row(spark, n=int(d["count"]), mean=float(d["mean"]), std=float(d["std"]), low=float(d["min"]), high=float(d["max"]))
     return one.select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "low", "high")
 
 
@@ -346,184 +322,6 @@ def plot_envelope(spark, sf_dir):
     return minmax_buckets(table(spark, sf_dir, "events").sort_by("event_id"), "value", 10)
 
 
-# Array columns
-
-
-_SUM = "list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))"
-
-
-@query(f"""SELECT vec_id, round({_SUM}, 5) AS total, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 5) AS norm,
-           CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS top FROM embeddings""")
-def array_rows(spark, sf_dir):
-    t = table(spark, sf_dir, "embeddings")
-    made = t["embedding"].row_transformer
-    out = t.assign(total=made.sum(), norm=made.norm(), top=made.argmax()).frame
-    return out.select("vec_id", F.round("total", 5).alias("total"), F.round("norm", 5).alias("norm"), F.col("top").cast("long").alias("top"))
-
-
-@query("SELECT vec_id FROM embeddings WHERE embedding[1] > 0")
-def array_element(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("embedding[:, 0] > 0", columns=["vec_id"]).frame
-
-
-@query("""SELECT i, round(sum(v), 4) AS total FROM (SELECT unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY 1""")
-def array_over_rows(spark, sf_dir):
-    found = table(spark, sf_dir, "embeddings")["embedding"].axis_reduce("sum", axis=0)
-    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(found)], "i long, t double")
-    return df.select("i", F.round("t", 4).alias("total"))
-
-
-@query("""SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2])), 5) AS d
-          FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b""")
-def array_dot(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    first = e.filter("vec_id = 0").first().embedding
-    return e.select("vec_id", F.round(rows.dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in first])), 5).alias("d"))
-
-
-# Arrays
-
-
-def _matrix(spark: SparkSession, sf_dir: str, n: int = 20, m: int = 8) -> nd.Array:
-    """The first m elements of the first n vectors."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").filter(F.col("vec_id") < n)
-    cells = e.select(F.col("vec_id").alias("i0"), F.posexplode(F.slice("embedding", 1, m)).alias("i1", "v"))
-    return nd.Array(cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (n, m))
-
-
-_M = "(SELECT vec_id AS i, unnest(range(8)) AS j, CAST(unnest(embedding[1:8]) AS DOUBLE) AS v FROM embeddings WHERE vec_id < 20)"
-
-
-@query(f"SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 6) AS v FROM {_M} a JOIN {_M} b ON a.j = b.j GROUP BY 1, 2")
-def array_matmul(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    return nd.matmul(x, x.T).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT j AS i0, round(sum(v), 6) AS v FROM {_M} GROUP BY 1")
-def array_axis_sum(spark, sf_dir):
-    return _matrix(spark, sf_dir).sum(axis=0).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, round(stddev_pop(v), 6) AS v FROM {_M} GROUP BY 1")
-def array_axis_std(spark, sf_dir):
-    return _matrix(spark, sf_dir).std(axis=1).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, arg_max(j, (v, -j)) AS v FROM {_M} GROUP BY 1")
-def array_axis_argmax(spark, sf_dir):
-    return _matrix(spark, sf_dir).argmax(axis=1).df
-
-
-@query(f"SELECT i AS i0, j AS i1, round(sum(v) OVER (PARTITION BY i ORDER BY j), 6) AS v FROM {_M}")
-def array_cumsum(spark, sf_dir):
-    return nd.cumulative_sum(_matrix(spark, sf_dir), axis=1).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, j AS i1, round((v - m) * 2, 6) AS v FROM {_M} JOIN (SELECT i, avg(v) AS m FROM {_M} GROUP BY 1) USING (i)")
-def array_broadcast(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    return ((x - x.mean(axis=1, keepdims=True)) * 2).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT (i * 8 + j) // 16 AS i0, (i * 8 + j) % 16 AS i1, v FROM {_M}")
-def array_reshape(spark, sf_dir):
-    return nd.reshape(_matrix(spark, sf_dir), (10, 16)).df
-
-
-@query(f"SELECT (i - 2) // 3 AS i0, j AS i1, v FROM {_M} WHERE i >= 2 AND i < 15 AND (i - 2) % 3 = 0")
-def array_slice(spark, sf_dir):
-    return _matrix(spark, sf_dir)[2:15:3].df
-
-
-@query(f"SELECT CAST(row_number() OVER (ORDER BY v, i) - 1 AS BIGINT) AS i0, v FROM {_M} WHERE j = 0")
-def array_sort(spark, sf_dir):
-    return nd.sort(_matrix(spark, sf_dir)[:, 0]).df
-
-
-@query(f"SELECT count(*) AS n, round(sum(v), 6) AS total FROM {_M} WHERE v > 0")
-def array_mask(spark, sf_dir):
-    x = _matrix(spark, sf_dir)
-    kept = x[x > 0]
-    return kept.df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
-
-
-# Arrays of the whole table
-
-
-def _whole(spark: SparkSession, sf_dir: str) -> nd.Array:
-    """All elements of all vectors, a row per vector in the order of vec_id."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    placed = dense_positions(e, [F.col("vec_id")], "i0")
-    cells = placed.select("i0", F.posexplode("embedding").alias("i1", "v"))
-    cells = cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v"))
-    return nd.Array(cells, (placed.count(), 64))
-
-
-_W = """(SELECT i, unnest(range(64)) AS j, CAST(unnest(embedding) AS DOUBLE) AS v
-         FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding FROM embeddings))"""
-
-
-@query(f"SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 6) AS v FROM {_W} a JOIN {_W} b ON a.i = b.i GROUP BY 1, 2")
-def whole_matmul(spark, sf_dir):
-    x = _whole(spark, sf_dir)
-    return nd.matmul(x.T, x).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT j AS i0, round(sum(v), 6) AS v FROM {_W} GROUP BY 1")
-def whole_axis_sum(spark, sf_dir):
-    return _whole(spark, sf_dir).sum(axis=0).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, round(stddev_pop(v), 6) AS v FROM {_W} GROUP BY 1")
-def whole_axis_std(spark, sf_dir):
-    return _whole(spark, sf_dir).std(axis=1).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, arg_max(j, (v, -j)) AS v FROM {_W} GROUP BY 1")
-def whole_axis_argmax(spark, sf_dir):
-    return _whole(spark, sf_dir).argmax(axis=1).df
-
-
-@query(f"SELECT i AS i0, j AS i1, round(sum(v) OVER (PARTITION BY i ORDER BY j), 6) AS v FROM {_W}")
-def whole_cumsum(spark, sf_dir):
-    return nd.cumulative_sum(_whole(spark, sf_dir), axis=1).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT i AS i0, j AS i1, round((v - m) * 2, 6) AS v FROM {_W} JOIN (SELECT i, avg(v) AS m FROM {_W} GROUP BY 1) USING (i)")
-def whole_broadcast(spark, sf_dir):
-    x = _whole(spark, sf_dir)
-    return ((x - x.mean(axis=1, keepdims=True)) * 2).df.withColumn("v", F.round("v", 6))
-
-
-@query(f"SELECT (i * 64 + j) // 16 AS i0, (i * 64 + j) % 16 AS i1, v FROM {_W}")
-def whole_reshape(spark, sf_dir):
-    return nd.reshape(_whole(spark, sf_dir), (-1, 16)).df
-
-
-@query(f"SELECT (i - 2) // 3 AS i0, j AS i1, v FROM {_W} WHERE i >= 2 AND (i - 2) % 3 = 0")
-def whole_slice(spark, sf_dir):
-    return _whole(spark, sf_dir)[2::3].df
-
-
-@query(f"SELECT CAST(row_number() OVER (ORDER BY v, i, j) - 1 AS BIGINT) AS i0, v FROM {_W}")
-def whole_sort(spark, sf_dir):
-    return nd.sort(nd.reshape(_whole(spark, sf_dir), -1)).df
-
-
-@query(f"SELECT count(*) AS n, round(sum(v), 6) AS total FROM {_W} WHERE v > 0")
-def whole_mask(spark, sf_dir):
-    x = _whole(spark, sf_dir)
-    return x[x > 0].df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 6).alias("total"))
-
-
-@query()
-def random_normal(spark, sf_dir):
-    from granary.operators.random import default_rng
-
-    return default_rng(spark, 3).normal(1.0, 2.0, shape=(1000,)).df
-
-
 # Extensions: joins, windows, events by time
 
 
@@ -546,9 +344,11 @@ def events_by_hour(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from granary import queries_arrays, queries_functions, queries_tables  # noqa: F401  they register theirs
 
+    return registered_queries()
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
 
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return registered_sql()

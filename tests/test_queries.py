@@ -40,7 +40,7 @@ def test_arrays_of_the_whole_table(spark):
     n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
     sizes = {"axis_std": n, "axis_argmax": n, "cumsum": 64 * n, "broadcast": 64 * n, "reshape": 64 * n, "sort": 64 * n}
     for name, rows in sizes.items():
-        assert queries()[f"whole_{name}"](spark, DATA).count() == rows, name
+        assert queries()[f"array_{name}"](spark, DATA).count() == rows, name
 
 
 def test_entry(spark):
