@@ -5,35 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.scratch import materialize
+from granary.llm.skew import salted_join
+from granary.scratch import discard, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest of the node and its neighbours."""
     ways = _both_ways(edges)
-    least = ways.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
-    joined = ways.join(least, F.col("u") == F.col("at"))
-    return (
-        joined.filter(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-        .distinct()
-    )
+    least = ways.groupBy("u").agg(F.min("v").alias("m"))
+    larger = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    joined = salted_join(larger, least, "u", "v", total=total)
+    return joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy(F.col("u").alias("at")).agg(F.min("v").alias("m"))
-    others = (
-        down.join(least, F.col("u") == F.col("at"))
-        .filter(F.col("v") != F.col("m"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-    )
-    return others.unionByName(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    others = salted_join(down, least, "u", "v", total=total).filter(F.col("v") != F.col("m"))
+    linked = others.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -60,8 +55,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        edges = materialize(_small_star(_large_star(edges)), "components")
-        last, state = state, _state(edges)
+        large = materialize(_large_star(edges, state[0]), "components")
+        small = materialize(_small_star(large, state[0]), "components")
+        discard(edges, large)
+        edges, last = small, state
+        state = _state(edges)
         if state == last:
             break
     else:

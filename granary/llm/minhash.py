@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.batches import map_batches
-from granary.llm.components import connected_components
+from granary.llm.similar import link_nodes
+from granary.llm.skew import key_filter, salted_join, split_by_filter
 from granary.scratch import materialize
 
 #: Hash minima per band, and bands. A pair at 0.8 misses all bands once in 7 million.
 ROWS = 5
 BANDS = 40
-SHINGLE_WORDS = 2
+SHINGLE_WORDS = 5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 
@@ -71,8 +72,8 @@ def band_keys(minima: np.ndarray, rows: int) -> list[int]:
     return (key ^ (key >> _SHIFT)).view(np.int64).tolist()
 
 
-def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """doc_id, content (a 128-bit digest of the shingle set, null if empty), n_shingles, keys."""
+def _signed(texts: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+    """doc_id, text_key, content (a 128-bit digest of the shingle set, null if empty), n_shingles, keys."""
 
     def start():
         hashes = _WordHashes()
@@ -84,6 +85,7 @@ def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
             sets = [shingle_set(body, hashes, width) for body in batch["body"]]
             yield {
                 "doc_id": batch["doc_id"],
+                "text_key": batch["text_key"],
                 "content": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "n_shingles": list(map(len, sets)),
                 "keys": [band_keys(signature(s, a, b), rows) if len(s) else [] for s in sets],
@@ -91,11 +93,12 @@ def _signed(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
 
         return step
 
-    return map_batches(docs, "doc_id bigint, content binary, n_shingles bigint, keys array<bigint>", start)
+    schema = "doc_id bigint, text_key bigint, content binary, n_shingles bigint, keys array<bigint>"
+    return map_batches(texts.select("doc_id", "text_key", "body"), schema, start)
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs' columns doc_id, node, content and the shingle set of body; rows whose set is another are dropped."""
+    """(node, set): the sorted shingles of body, eight bytes each, where their digest is content."""
 
     def start():
         hashes = _WordHashes()
@@ -103,33 +106,38 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
         def step(batch):
             if batch is None:
                 return
-            found = [
-                (node, s.view(np.int64))
-                for node, content, body in zip(batch["node"], batch["content"], batch["body"], strict=True)
-                if xxhash.xxh3_128_digest((s := shingle_set(body, hashes, width)).tobytes()) == bytes(content)
-            ]
-            yield {"node": [n for n, _ in found], "set": [s for _, s in found]}
+            made = [shingle_set(body, hashes, width).tobytes() for body in batch["body"]]
+            right = [xxhash.xxh3_128_digest(s) == bytes(c) for s, c in zip(made, batch["content"], strict=True)]
+            yield {
+                "node": [n for n, ok in zip(batch["node"], right, strict=True) if ok],
+                "set": [s for s, ok in zip(made, right, strict=True) if ok],
+            }
 
         return step
 
-    return map_batches(docs, "node bigint, set array<bigint>", start)
+    return map_batches(docs, "node bigint, set binary", start)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) with the sizes n_u, n_v of their full sets and the size ``both`` of the intersection."""
-    one = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
-    two = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
-    return pairs.join(one, "u").join(two, "v").select(
-        "u",
-        "v",
-        F.size("set_u").alias("n_u"),
-        F.size("set_v").alias("n_v"),
-        F.size(F.array_intersect("set_u", "set_v")).alias("both"),
-    )
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, body; rows of one doc_id and text_key have one text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.cast("binary").alias("body"))
 
 
-def _similar(both: Column, n_u: Column, n_v: Column, percent: int) -> Column:
-    return 100 * both >= percent * (n_u + n_v - both)
+def _grouped(docs: DataFrame, percent: int, bands: int, rows: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows; the nodes, which are their distinct sets; and (node, component) of the linked nodes."""
+    texts = _texts(docs)
+    signed = materialize(_signed(texts, bands, rows, width), "minhash-signed")
+    source = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    nodes = (
+        signed.filter("content is not null")
+        .groupBy("content")
+        .agg(F.min(source).alias("source"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("node", F.monotonically_increasing_id())
+    )
+    nodes = materialize(nodes, "minhash-nodes")
+    parts = link_nodes(nodes, lambda members: _member_sets(texts, nodes, members, width), percent)
+    return signed, nodes, parts
 
 
 def near_groups(
@@ -141,152 +149,77 @@ def near_groups(
     their shingle sets. component_id is the smallest doc_id that links reach;
     kept says that it is the row's own. Texts without words, and null texts,
     have an empty set and are linked with nothing. Repeated rows have the same
-    result each. An empty table gives an empty result.
+    result each; a null doc_id is larger than all others. An empty table gives
+    an empty result.
 
     Rows with equal sets are one node. Nodes share a bucket if a band of their
-    signatures agrees. Each bucket has a stand-in: the member whose buckets
-    hold most nodes, which in a group of edited copies is the text that they
-    come from or one close to it.
-
-    1. Every node is compared on full sets with the stand-ins of its buckets,
-       and components are formed from the links.
-    2. In buckets that still hold several components, members of different
-       ones are compared if an upper bound of their intersection allows a
-       link (see ``_across``). The bound is exact, so no link between nodes
-       that share a bucket is left out, while pairs of a group that are
-       linked through its stand-in, or cannot be linked, are never formed.
+    signatures agrees; ``link_nodes`` finds the links of nodes that do. A
+    component or a set may hold any share of the rows: joins on them are
+    salted.
     """
-    body = F.coalesce("text", F.lit("")).cast("binary").alias("body")
-    texts = docs.select("doc_id", body)
-    signed = materialize(_signed(texts, bands, rows, width), "minhash-signed")
-    nodes = (
-        signed.filter("content is not null")
-        .groupBy("content")
-        .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    nodes = materialize(nodes, "minhash-nodes")
-    keys = nodes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = materialize(keys.join(sizes, "key"), "minhash-shared")
-    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
-    central = F.struct("company", F.xxhash64("node").alias("draw"), "node")
-    stand_ins = shared.join(company, "node").groupBy("key").agg(F.max(central)["node"].alias("stand_in"))
-    members = materialize(shared.join(stand_ins, "key").select("key", "node", "n", "size", "stand_in"), "minhash-members")
-    sets = _member_sets(texts, signed, nodes, members, width)
-
-    pairs = members.filter("node != stand_in").select(F.col("node").alias("u"), F.col("stand_in").alias("v")).distinct()
-    compared = materialize(_compared(pairs, sets), "minhash-compared")
-    linked = compared.filter(_similar(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
-    parts = connected_components(linked)
-
-    more = _compared(_across(members, parts, sets, percent), sets)
-    more = more.filter(_similar(F.col("both"), F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
-    more = materialize(more, "minhash-links")
-    if not more.isEmpty():
-        parts = connected_components(_edges(parts).unionByName(more))
-
-    placed = nodes.join(parts, "node", "left").select(
-        "content", "first_id", F.coalesce("component", "node").alias("component")
+    signed, nodes, parts = _grouped(docs, percent, bands, rows, width)
+    linked = materialize(parts.join(nodes.select("node", "source"), "node"), "minhash-placed")
+    smallest = linked.groupBy("component").agg(F.min("source")["doc_id"].alias("component_id"))
+    found = salted_join(linked.select("node", "component"), smallest, "component", "node").select("node", "component_id")
+    by_content = nodes.join(found, "node", "left").select(
+        F.xxhash64("content").alias("digest"),
+        F.col("content").alias("same"),
+        F.when(F.col("component_id").isNull(), F.col("source.doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_content = placed.join(smallest, "component").select("content", "component_id")
-    filled = signed.filter("content is not null").select("doc_id", "n_shingles", "content")
-    out = filled.join(by_content, "content").select("doc_id", "n_shingles", "component_id")
+    filled = signed.filter("content is not null").select("doc_id", "n_shingles", "content", F.xxhash64("content").alias("digest"))
+    counts = nodes.select(F.xxhash64("content").alias("digest"), F.col("rows").alias("n"))
+    same = F.col("content") == F.col("same")
+    out = salted_join(filled, by_content, "digest", F.monotonically_increasing_id(), same, counts=counts)
+    out = out.select("doc_id", "n_shingles", "component_id")
     alone = signed.filter("content is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.unionByName(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _member_sets(texts: DataFrame, signed: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def _member_sets(texts: DataFrame, nodes: DataFrame, members: DataFrame, width: int) -> DataFrame:
     """(node, set) of the nodes that share a bucket, from the text of one document of each.
 
     The sets are made again from these texts alone, which is less to keep than
     the sets of all documents.
     """
-    wanted = members.select("node").distinct().join(nodes.select("node", "content", "first_id"), "node")
-    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "content", "body")
-    sets = _sets(joined, width)
-    if not signed.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        sets = sets.groupBy("node").agg(F.first("set").alias("set"))
-    return materialize(sets, "minhash-sets")
-
-
-def _edges(parts: DataFrame) -> DataFrame:
-    return parts.select(F.col("node").alias("u"), F.col("component").alias("v"))
-
-
-#: Parts, by hash, of the shingles that a node shares with its stand-in, and of its other ones.
-COMMON_PARTS, OTHER_PARTS = 32, 16
-
-
-def _across(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, and that may be similar.
-
-    Let c be the stand-in of the bucket. A shingle in both nodes is in c or
-    not, and falls into one of some hash parts. In each part the intersection
-    is at most the smaller count of the two nodes, where shingles outside c
-    count only if another node of c's has them too. So the sum of the smaller
-    counts bounds the intersection from above. Edited copies differ in
-    different places, which keeps the bound close to the truth.
+    wanted = members.select("node").distinct().join(nodes.select("node", "content", "source"), "node")
+    wanted = materialize(wanted, "minhash-wanted")
+    ids = wanted.select("node", "content", F.col("source.doc_id").alias("id"), F.col("source.text_key").alias("key"))
+    words = materialize(key_filter(ids.select("key")), "minhash-filter")
+    likely, _ = split_by_filter(texts, F.col("text_key"), words)
+    joined = likely.join(ids, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    sets = materialize(_sets(joined.select("node", "content", "body"), width), "minhash-sets")
+    if sets.count() > wanted.count():  # rows that are repeated as a whole
+        sets = materialize(sets.groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
+    return sets
+
+
+def keep_one(
+    docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS, width: int = SHINGLE_WORDS
+) -> DataFrame:
+    """docs without all but one row of each group of linked documents (see ``near_groups``).
 
-    Pairs are compared within buckets by these counts alone, inside the join.
+    The row with the smallest doc_id stays (nulls last; then by a hash of the
+    text; of rows that agree in both, any one). Rows without words are groups
+    of their own and all stay. Columns keep their values, whatever their
+    names. An empty table gives an empty result.
     """
-    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    mixed = (
-        placed.filter("size > 2")
-        .groupBy("key")
-        .agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        .filter("low != high")
-        .select("key")
-    )
-    placed = materialize(placed.join(mixed, "key"), "minhash-mixed")
-    own = placed.select("node", "stand_in").distinct()
-    counts = _part_counts(own, sets)
-    names = [c for c in counts.columns if c[0] == "c"]
-    placed = placed.filter("node != stand_in").join(counts, ["node", "stand_in"])
-    one = placed.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("part").alias("part_u"), *[F.col(c).alias(f"{c}_u") for c in names])
-    two = placed.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("part").alias("part_v"), *[F.col(c).alias(f"{c}_v") for c in names])
-    bound = sum((F.least(f"{c}_u", f"{c}_v") for c in names), F.lit(0))
-    sizes = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    possible = (F.col("part_u") < F.col("part_v")) & sizes & _similar(bound, F.col("n_u"), F.col("n_v"), percent)
-    return one.join(two.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & possible).select("u", "v").distinct()
-
-
-def _part_counts(own: DataFrame, sets: DataFrame) -> DataFrame:
-    """For (node, stand_in): the number of shingles in each part, as columns c0, c1, ..."""
-    theirs = sets.select(F.col("node").alias("stand_in"), F.col("set").alias("theirs"))
-    both = own.join(sets, "node").join(theirs, "stand_in")
-    split = materialize(
-        both.select(
-            "node",
-            "stand_in",
-            F.array_intersect("set", "theirs").alias("common"),
-            F.array_except("set", "theirs").alias("other"),
-        ),
-        "minhash-split",
-    )
-    others = split.select("node", "stand_in", F.explode("other").alias("shingle"))
-    repeated = others.groupBy("stand_in", "shingle").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    others = others.join(repeated.drop("times"), ["stand_in", "shingle"])
-    place = F.pmod(F.col("shingle"), F.lit(OTHER_PARTS))
-    others = others.groupBy("node", "stand_in").agg(
-        *[F.count_if(place == i).cast("int").alias(f"c{COMMON_PARTS + i}") for i in range(OTHER_PARTS)]
-    )
-
-    def in_part(i: int) -> Column:
-        return F.size(F.filter("common", lambda s: F.pmod(s, F.lit(COMMON_PARTS)) == i)).alias(f"c{i}")
-
-    common = split.select("node", "stand_in", *[in_part(i) for i in range(COMMON_PARTS)])
-    return common.join(others, ["node", "stand_in"], "left").na.fill(0)
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but one row of each group: the one with the smallest doc_id, once."""
-    groups = near_groups(docs.select("doc_id", "text"), **options)
-    kept = groups.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = packed.join(kept, F.col("doc.doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    same = Window.partitionBy("doc.doc_id", F.xxhash64("doc.text")).orderBy(F.xxhash64("doc"))
-    rows = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    signed, nodes, parts = _grouped(docs, percent, bands, rows, width)
+    placed = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "source", "rows")
+    groups = placed.groupBy("component").agg(F.min("source").alias("source"), F.sum("rows").alias("rows"))
+    kept = groups.filter("rows > 1").select(F.col("source.doc_id").alias("kept_id"), F.col("source.text_key").alias("kept_key"))
+    text = F.coalesce("text", F.lit(""))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(text).alias("key"))
+    # rows that are alone in their group stay where they are; only the others are shuffled
+    linked = nodes.filter("rows > 1").select("content").unionByName(nodes.join(parts, "node", "left_semi").select("content"))
+    suspects = materialize(signed.join(linked.distinct(), "content", "left_semi").select("doc_id", F.col("text_key").alias("key")).distinct(), "minhash-suspects")
+    words = materialize(key_filter(suspects.select("key")), "minhash-filter")
+    likely, alone = split_by_filter(packed, F.col("key"), words)
+    of_suspects = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("suspect_key"))
+    marked = likely.join(suspects.withColumnRenamed("key", "suspect_key"), of_suspects, "left")
+    of_kept = F.col("doc.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    rows = marked.filter("suspect_key is not null").drop("doc_id", "suspect_key").join(kept, of_kept, "left_semi")
+    same = Window.partitionBy("doc.doc_id", "key").orderBy(F.xxhash64("doc"))
+    rows = rows.withColumn("nth", F.row_number().over(same)).filter("nth = 1").drop("nth")
+    rows = rows.unionByName(marked.filter("suspect_key is null").drop("doc_id", "suspect_key")).unionByName(alone)
     return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
