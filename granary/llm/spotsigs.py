@@ -1,19 +1,26 @@
-"""Document fingerprints: chains of content words that follow common words."""
+"""Document fingerprints: chains of content words that follow common words.
+
+Fingerprints are compared by pruned Jaccard similarity. Sets are partitioned
+by their length, as similar sets have similar lengths, and within neighbouring
+partitions only those meet that share one of their rarest signatures.
+"""
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.batches import bound_batches, map_batches
+from granary.llm.similar import SKETCH, link_nodes, set_marks
+from granary.llm.skew import salted_join
+from granary.scratch import discard, materialize
 
 # Common words of English, French, German and Spanish that anchor signatures.
 ANCHORS = frozenset(
@@ -26,8 +33,13 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain.
 CHAIN = 2
-#: Words in a signature of texts that no common word occurs in.
+#: Words in a plain run, and words for each signature above which runs are added.
 PLAIN_RUN = 3
+SPARSE = 20
+#: Documents are alike if their signatures are, in percent.
+ALIKE = 80
+#: Cells of the table that tells frequent signatures from rare ones.
+CELLS = 1 << 17
 
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -35,9 +47,10 @@ _TOKEN = re.compile(r"[^\W_]+")
 def signatures(text: str) -> set[int]:
     """32-bit hashes of the spot signatures of a text.
 
-    A signature is a common word with the next CHAIN other words. A text
-    without any has runs of PLAIN_RUN words instead, one without words itself,
-    and the empty text none, so that texts without common words differ too.
+    A signature is a common word with the next CHAIN other words. A text with
+    fewer than one in SPARSE words also has all runs of PLAIN_RUN words, one
+    without words itself, and the empty text none, so that texts without
+    common words differ too.
     """
     words = _TOKEN.findall(text.lower())
     digest = xxhash.xxh32_intdigest
@@ -50,17 +63,25 @@ def signatures(text: str) -> set[int]:
                 at += 1
             elif at < last:
                 found.add(digest(" ".join([word, *(words[j] for j in content[at : at + CHAIN])])))
-    if not found and words:
+    if len(found) * SPARSE < len(words):
         runs = max(1, len(words) - PLAIN_RUN + 1)
-        found = {digest(" ".join(words[i : i + PLAIN_RUN])) for i in range(runs)}
+        found |= {digest(" ".join(words[i : i + PLAIN_RUN])) for i in range(runs)}
     if not found and text:
         found = {digest(text)}
     return found
 
 
+def sorted_signatures(found: set[int]) -> np.ndarray:
+    return np.sort(np.fromiter(found, dtype=np.uint32, count=len(found)))
+
+
 def fingerprint(found: set[int]) -> str:
     """The signatures in order, eight hex digits each."""
-    return np.sort(np.fromiter(found, dtype=np.uint32, count=len(found))).astype(">u4").tobytes().hex()
+    return sorted_signatures(found).astype(">u4").tobytes().hex()
+
+
+def _digest(found: set[int]) -> bytes:
+    return xxhash.xxh3_128_digest(sorted_signatures(found).tobytes())
 
 
 def likeness(one: set[int], two: set[int]) -> float:
@@ -108,14 +129,15 @@ def _range_udf(cuts: list[float]):
     return place
 
 
-def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
+def fingerprint_neighbours(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Fingerprints of every text of docs (doc_id, text) and of its edited text, and their likeness.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. The next document is by ascending doc_id (nulls
-    last, ties by text); after the last comes the first. Null texts are empty.
-    Two empty fingerprints have likeness 1. Repeated rows follow each other.
-    An empty table gives an empty result.
+    near_edited, near_next, group_id. The next document is by ascending doc_id
+    (nulls last, ties by text); after the last comes the first. Null texts are
+    empty. Two empty fingerprints have likeness 1. Repeated rows follow each
+    other. An empty table gives an empty result. group_id is that of
+    ``groups`` (see ``document_groups``), and doc_id where there is none.
 
     Texts are shuffled once, to ranges of doc_id. The first document of each
     range also goes to the range before, as the follower of its last one.
@@ -136,19 +158,24 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
             out.append(to)
         return pd.Series(out)
 
-    ordered = (
-        texts.withColumn("place", F.explode(places("doc_id")))
-        .select("doc_id", "text", "place.range", "place.follower")
-        .repartition("range")
-        .sortWithinPartitions("range", "follower", F.col("doc_id").asc_nulls_last(), "text")
+    order = ["range", "follower", "doc_id", "is_text", "text", "digest", "group_id"]
+    placed = texts.withColumn("place", F.explode(places("doc_id"))).select(
+        "place.range", "place.follower", "doc_id", F.lit(True).alias("is_text"), "text", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("group_id")
     )
+    if groups is not None:
+        own = groups.withColumn("place", places("doc_id")[0])
+        placed = placed.unionByName(
+            own.select("place.range", F.lit(False).alias("follower"), "doc_id", F.lit(False).alias("is_text"), F.lit("").alias("text"), "digest", "group_id").select(order)
+        )
+    ordered = placed.repartition("range").sortWithinPartitions("range", "follower", F.col("doc_id").asc_nulls_last(), "is_text", "text")
 
     def start():
-        waiting = None  # (range, doc_id, text, signatures) of the document whose next one is to come
+        waiting = None  # (doc_id, text, signatures, group_id) of the document whose next one is to come
+        known: tuple[int | None, dict] = (None, {})  # a doc_id, and the group of each of its fingerprints
 
         def finished(following: tuple) -> dict:
-            _, doc_id, text, own = waiting
-            edited = edited_text(text, following[2])
+            doc_id, text, own, group = waiting
+            edited = edited_text(text, following[1])
             changed = own if edited == text else signatures(edited)
             return {
                 "doc_id": doc_id,
@@ -157,20 +184,27 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
                 "fingerprint": fingerprint(own),
                 "edited_fingerprint": fingerprint(changed),
                 "near_edited": likeness(own, changed),
-                "near_next": likeness(own, following[3]),
+                "near_next": likeness(own, following[2]),
+                "group_id": group,
             }
 
         def step(batch):
-            nonlocal waiting
+            nonlocal waiting, known
             if batch is None:
                 return
             out = []
-            for place, doc_id, text, follower in zip(
-                batch["range"], batch["doc_id"], batch["text"], batch["follower"], strict=True
-            ):
+            rows = zip(*(batch[c] for c in ("doc_id", "follower", "is_text", "text", "digest", "group_id")), strict=True)
+            for doc_id, follower, is_text, text, digest, group in rows:
+                if not is_text:
+                    if known[0] != doc_id:
+                        known = (doc_id, {})
+                    known[1][bytes(digest)] = group
+                    continue
                 if follower and waiting is None:
                     continue
-                row = (place, doc_id, text, signatures(text))
+                own = signatures(text)
+                mine = known[1].get(_digest(own), doc_id) if known[1] and known[0] == doc_id else doc_id
+                row = (doc_id, text, own, mine)
                 if waiting is not None:
                     out.append(finished(row))
                 waiting = None if follower else row
@@ -181,56 +215,154 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
 
     schema = (
         "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"
+        "near_edited double, near_next double, group_id bigint"
     )
     return map_batches(ordered, schema, start)
 
 
-def similar_documents(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs (u, v, likeness) of different fingerprints that are at least ``threshold`` alike, each by its smallest doc_id.
+def _signed(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, n and set of every text with signatures; a set as its sorted signatures of four bytes each."""
+
+    def start():
+        def step(batch):
+            if batch is None:
+                return
+            found = [(d, sorted_signatures(signatures(t or ""))) for d, t in zip(batch["doc_id"], batch["text"], strict=True)]
+            found = [(d, x) for d, x in found if len(x)]
+            packed = [x.tobytes() for _, x in found]
+            yield {
+                "doc_id": [d for d, _ in found],
+                "digest": list(map(xxhash.xxh3_128_digest, packed)),
+                "n": [len(x) for _, x in found],
+                "set": packed,
+            }
+
+        return step
+
+    return map_batches(docs.select("doc_id", "text"), "doc_id bigint, digest binary, n int, set binary", start)
+
+
+def _unpacked(blobs: list) -> list[np.ndarray]:
+    return [np.frombuffer(b, dtype=np.uint32) for b in blobs]
+
+
+def _often(classes: DataFrame) -> np.ndarray:
+    """How many classes have a signature of each cell; the driver gets CELLS numbers."""
+
+    def start():
+        total = np.zeros(CELLS, dtype=np.int64)
+
+        def step(batch):
+            nonlocal total
+            if batch is None:
+                cells = np.flatnonzero(total)
+                yield {"cell": cells, "n": total[cells]}
+                return
+            sets = _unpacked(batch["set"])
+            if sets:
+                total += np.bincount(np.concatenate(sets) % CELLS, minlength=CELLS)
+            yield from ()
+
+        return step
+
+    counts = map_batches(classes.select("set"), "cell bigint, n bigint", start)
+    found = counts.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, dtype=np.int64)
+    out[found["cell"].to_numpy(dtype=np.int64)] = found["n"].to_numpy()
+    return out
+
 
-    docs has doc_id and fingerprint; rows of one fingerprint are one class and
-    empty fingerprints match nothing. Classes are partitioned by set length:
-    likeness of at least t needs lengths within a factor of t, so a class goes
-    to its own length band and its partners lie in this or the next. Within
-    bands only the rarest signatures are joined: two sets that share none of
-    their first n - ceil(t n) + 1 signatures by rarity cannot be so alike.
+def length_partitions(percent: int, longest: int = 1 << 31) -> np.ndarray:
+    """The least length of each partition: a set and one that may be ``percent`` alike are in the same or in neighbouring ones."""
+    least = [1]
+    while least[-1] < longest:
+        least.append(least[-1] * 100 // percent + 1)
+    return np.array(least)
+
+
+def _keyed(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, keys, marks): a key for each of a set's rarest signatures in its own length partition and in the next.
+
+    Sets of n that are ``percent`` alike share one of their first
+    n - ceil(percent n) + 1 signatures in any fixed order of all signatures;
+    the order is by the counts of their cells, then by value.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold is in (0, 1]")
-    classes = docs.filter("fingerprint != ''").groupBy("fingerprint").agg(F.min("doc_id").alias("id"))
-    n = F.length("fingerprint") / 8
-    parts = classes.select(
-        "id",
-        n.cast("int").alias("n"),
-        F.transform(
-            F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: F.substring("fingerprint", i * 8 + 1, F.lit(8))
-        ).alias("set"),
-    )
-    often = parts.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("often"))
-    ranked = parts.select("id", "n", F.explode("set").alias("s")).join(often, "s")
-    by_rarity = Window.partitionBy("id").orderBy("often", "s")
-    prefix = ranked.withColumn("nth", F.row_number().over(by_rarity)).filter(
-        F.col("nth") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    )
-    width = -math.log(threshold) if threshold < 1 else 1.0
-    prefix = prefix.select("id", "n", "s", F.floor(F.ln("n") / width).alias("band"))
-    one = prefix.select(F.col("id").alias("u"), F.col("n").alias("n_u"), "s", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
-    two = prefix.select(F.col("id").alias("v"), F.col("n").alias("n_v"), "s", "band")
-    shorter = (F.col("n_u") < F.col("n_v")) | ((F.col("n_u") == F.col("n_v")) & (F.col("u") < F.col("v")))
-    pairs = (
-        one.join(two, ["s", "band"])
-        .filter(shorter & (F.col("n_u") >= threshold * F.col("n_v") - 1e-9))
-        .select("u", "v")
-        .distinct()
-    )
-    sets_u = parts.select(F.col("id").alias("u"), F.col("set").alias("set_u"))
-    sets_v = parts.select(F.col("id").alias("v"), F.col("set").alias("set_v"))
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    alike = both / (F.size("set_u") + F.size("set_v") - both)
-    return (
-        pairs.join(sets_u, "u")
-        .join(sets_v, "v")
-        .select("u", "v", alike.alias("likeness"))
-        .filter(F.col("likeness") >= threshold)
-    )
+    shared = classes.sparkSession.sparkContext.broadcast(_often(classes))
+    partitions = length_partitions(percent)
+    names = {name: i for i, name in enumerate(SKETCH)}
+
+    def keys(found: np.ndarray) -> np.ndarray:
+        n = len(found)
+        order = np.lexsort((found, shared.value[found % CELLS]))
+        rare = found[order[: n - -(-percent * n // 100) + 1]].astype(np.uint64)
+        own = int(np.searchsorted(partitions, n, side="right"))
+        both = np.concatenate([rare << np.uint64(32) | np.uint64(p) for p in (own, own + 1)])
+        both = (both ^ (both >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (both ^ (both >> np.uint64(29))).view(np.int64)
+
+    def start():
+        def step(batch):
+            if batch is None:
+                return
+            sets = _unpacked(batch["set"])
+            marks = [set_marks(x.astype(np.uint64) << np.uint64(7)) for x in sets]
+            out = {"node": batch["node"], "n": list(map(len, sets)), "keys": list(map(keys, sets))}
+            yield out | {name: [m[i] for m in marks] for name, i in names.items()}
+
+        return step
+
+    marks = ", ".join(f"{name} bigint" for name in SKETCH)
+    return map_batches(classes.select("node", "set"), f"node bigint, n bigint, keys array<bigint>, {marks}", start)
+
+
+def _wide(sets: DataFrame) -> DataFrame:
+    """(node, set) with elements of eight bytes."""
+
+    def start():
+        def step(batch):
+            if batch is not None:
+                yield {"node": batch["node"], "set": [x.astype(np.uint64).tobytes() for x in _unpacked(batch["set"])]}
+
+        return step
+
+    return map_batches(sets.select("node", "set"), "node bigint, set binary", start)
+
+
+def document_groups(docs: DataFrame, percent: int = ALIKE) -> DataFrame:
+    """(doc_id, digest, group_id) of the documents whose group has a smaller doc_id than theirs.
+
+    Two documents are linked if the Jaccard similarity of their signatures is
+    ``percent`` or more; group_id is the smallest doc_id that links reach
+    (nulls count as largest). digest tells the fingerprints of a repeated
+    doc_id apart. Texts without signatures (null and empty ones) are linked
+    with nothing. Repeated rows give one row. An empty table gives an empty
+    result.
+
+    Documents with equal fingerprints are one class. ``link_nodes`` compares
+    classes that share a key of ``_keyed``, so no link is left out, and pairs
+    that sizes or sketches rule out are pruned before their sets are read. A
+    fingerprint, a signature or a group may hold any share of the rows.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError("percent is in (0, 100]")
+    signed = materialize(_signed(docs), "spots-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("source")
+    classes = signed.groupBy("digest").agg(first, F.first("set").alias("set")).withColumn("node", F.monotonically_increasing_id())
+    classes = materialize(classes, "spots-classes")
+    ids = materialize(signed.select("doc_id", "digest").distinct(), "spots-ids")
+    discard(signed)
+    nodes = materialize(_keyed(classes, percent), "spots-nodes")
+
+    def find_sets(members: DataFrame) -> DataFrame:
+        return materialize(_wide(classes.join(members.select("node").distinct(), "node", "left_semi")), "spots-sets")
+
+    parts = link_nodes(nodes, find_sets, percent, sketched=True)
+    linked = classes.select("node", "source", "digest").join(parts, "node", "left")
+    linked = materialize(linked.select("source", "digest", F.coalesce("component", "node").alias("component")), "spots-linked")
+    smallest = linked.groupBy("component").agg(F.min("source")["doc_id"].alias("group_id"))
+    found = salted_join(linked, smallest, "component", "digest").select(F.xxhash64("digest").alias("key"), F.col("digest").alias("same"), "group_id")
+    keyed = ids.withColumn("key", F.xxhash64("digest"))
+    out = salted_join(keyed, found, "key", "doc_id", F.col("digest") == F.col("same"))
+    out = materialize(out.filter(~F.col("doc_id").eqNullSafe(F.col("group_id"))).select("doc_id", "digest", "group_id"), "spots-groups")
+    discard(classes, ids, nodes, linked, parts)
+    return out
