@@ -6,6 +6,7 @@ the files instead of recomputing the work above them.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,17 @@ def discard(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._scratch_path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so when the driver's collector finds that no plan refers to them,
+    which an idle driver may not do for half an hour; until then they fill the
+    executors' disks. Called after a step whose result is a scratch table.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """wanted, or wanted with underscores in front until no column has that name."""
     taken = {c.lower() for c in df.columns}
