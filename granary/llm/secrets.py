@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.text import regex_spans
+from granary.llm.text import between, cells, given, regex_spans, running_ends
 from granary.scratch import with_row_id
 
 # The base kinds, in the order that breaks ties of start.
@@ -119,7 +119,8 @@ def scan_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     sorted by start and kind (``KINDS[rank]``); spans has the base spans and
     the weak ones that linking reports. docs needs text; null texts are empty
     and have no spans. Repeated rows are scanned each for itself. Columns of
-    docs keep their values, whatever their names.
+    docs keep their values, whatever their names. An empty table gives an
+    empty result.
     """
     text = F.coalesce("text", F.lit(""))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc"), text.alias("text"))
@@ -127,8 +128,10 @@ def scan_documents(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     rows, rid = with_row_id(found, "secret-spans")
     linked = linked_spans(rows, rid)
     spans = F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(_SPAN))))
-    joined = rows.join(linked, F.col(rid) == F.col("rid"), "left")
-    return joined.select("doc", "base", spans.alias("spans"))
+    # rows without weak candidates have nothing to be linked and stay where they are
+    joined = rows.filter(F.size("weak") > 0).join(linked, F.col(rid) == F.col("rid"), "left")
+    alone = rows.filter(F.size("weak") == 0).select("doc", "base", F.col("base").alias("spans"))
+    return joined.select("doc", "base", spans.alias("spans")).unionByName(alone)
 
 
 def span_text(spans: Column) -> Column:
@@ -140,33 +143,32 @@ def span_text(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in angle brackets; overlapping spans become one."""
+    """text with every span (sorted by start) replaced by its kind in angle brackets; spans that overlap become one.
+
+    The first span of those that overlap gives the kind. Takes time in
+    proportion to the text and the number of spans.
+    """
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(
-                s["start"] >= acc["at"], F.concat(acc["out"], F.array(between, F.element_at(names, s["rank"] + 1)))
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        )
 
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.aggregate(
-            spans,
-            state,
-            step,
-            lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))),
-        )
+    def cut(parts: Column, groups: Column) -> Column:
+        pieces = F.transform(groups, lambda g: F.concat(between(parts, g["before"], g["start"]), F.element_at(names, g["rank"] + 1)))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), between(parts, end, F.length(text).cast("long")))
+
+    ends = running_ends(F.transform(spans, lambda s: s["end"]))
+    groups = F.filter(
+        F.zip_with(spans, ends, lambda s, e: F.struct(s["start"], s["rank"], e.alias("before"))),
+        lambda g: g["start"] >= g["before"],
     )
+    return F.when(F.size(spans) == 0, text).otherwise(given(cells(text), lambda parts: given(groups, lambda g: cut(parts, g))))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """docs with secrets replaced in text, and n_chars, where there is one, set to the new length of changed texts."""
+    """docs with secrets replaced in text, and n_chars, where there is one, set to the new length of changed texts.
+
+    Null and empty texts and texts without secrets stay as they are, repeated
+    rows are changed each for itself, an empty table gives an empty result.
+    """
     rows = scan_documents(docs)
     text = redacted(F.col("doc.text"), F.col("spans"))
     out = rows.select("doc", text.alias("clean"), (F.size("spans") > 0).alias("changed"))
