@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from granary.llm.batches import map_batches
 from granary.llm.components import connected_components
 from granary.llm.skew import salted_join
-from granary.scratch import discard, materialize
+from granary.scratch import discard, free_shuffles, materialize
 
 #: Words of 64 bits that mark the elements of a set: those of a stand-in that a node lacks, others that it has, or all.
 MARK_WORDS = 8
@@ -189,6 +189,7 @@ def link_nodes(nodes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], pe
     if sketched:
         pairs = materialize(_sketched(pairs, nodes, percent), "similar-stars")
     sets = find_sets(members)
+    free_shuffles(nodes.sparkSession)
     compared = materialize(_compared(pairs, sets, marks=not sketched), "similar-compared")
     parts = materialize(connected_components(_linked(compared, percent)), "similar-parts")
 
@@ -200,4 +201,5 @@ def link_nodes(nodes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], pe
         edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
         parts = materialize(connected_components(edges), "similar-parts")
     discard(members, compared, across, sets)
+    free_shuffles(nodes.sparkSession)
     return parts

@@ -47,3 +47,34 @@ reached(doc_id, other) AS (
 )
 SELECT doc_id, n AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept FROM reached JOIN sizes USING (doc_id) GROUP BY doc_id, n
 """
+
+# Lines are compared trimmed, lower-cased, with digits as 0; documents of a host are told apart by all their lines.
+OP3 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+split AS (
+  SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs
+), windows AS (
+  SELECT rid, unnest(range(1, len(words) - 3)) AS place, unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS w
+  FROM split WHERE len(words) >= 5
+), repeated AS (
+  SELECT rid, place, lead(place) OVER (PARTITION BY rid ORDER BY place) AS following
+  FROM (SELECT rid, place, count(*) OVER (PARTITION BY rid, w) AS times FROM windows) WHERE times > 1
+), covered AS (SELECT rid, sum(least(5, coalesce(following - place, 5))) AS n_repeat_words FROM repeated GROUP BY rid),
+normal AS (
+  SELECT rid, source, lines, list_transform(lines, lambda x: translate(lower(trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), '123456789', '000000000')) AS shown FROM split
+), parts AS (
+  SELECT rid, source, shown, unnest(shown) AS line, unnest(list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))) AS n FROM normal
+), common AS (SELECT source, line FROM parts GROUP BY source, line HAVING count(DISTINCT shown) > 10),
+removed AS (
+  SELECT rid, sum(n) AS n FROM parts p WHERE EXISTS (SELECT 1 FROM common c WHERE c.source IS NOT DISTINCT FROM p.source AND c.line = p.line) GROUP BY rid
+), counted AS (
+  SELECT rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM split
+), judged AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed, CAST(n_words - coalesce(r.n, 0) AS BIGINT) AS words_left
+  FROM counted LEFT JOIN covered USING (rid) LEFT JOIN removed r USING (rid)
+)
+SELECT *, NOT base_failed AND NOT words_left < 0.2 * n_words AS kept FROM judged
+"""
