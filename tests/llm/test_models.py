@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, langid, maxent, minhash, queries, spotsigs
+from granary.llm import bpe, langid, maxent, minhash, queries, skew, spotsigs
 from granary.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, node string"
@@ -97,11 +97,32 @@ def test_language_is_learned_and_held_out(spark, tmp_path):
 
 def test_unseen_words_back_off(spark):
     model = langid.train(frame(spark, [(i, t, lang) for i, (t, lang) in enumerate([("straßenbahn straßenfest", "de"), ("railway railroad", "en")] * 6)]))
-    assert "straßenlicht" not in model.words
-    logs = model.scores("straßenlicht")
-    assert logs[model.langs.index("de")] > logs[model.langs.index("en")]
-    assert model.scores("ωωω") is None
-    assert langid.train(frame(spark, [])).langs == []
+    assert list(model.words.rows(["straßenlicht", "railway"]) >= 0) == [False, True]
+    unseen, strange = model.scores(["straßenlicht", "ωωω"])
+    assert unseen[model.langs.index("de")] > unseen[model.langs.index("en")]
+    assert not strange.any()
+    nothing = langid.train(frame(spark, []))
+    assert nothing.langs == []
+    assert [r.lang_pred for r in langid.predict(frame(spark, [(1, "a b", "en")]), nothing).collect()] == ["und"]
+    assert langid.predict(frame(spark, []), model).collect() == []
+
+
+def test_language_follows_brute_force(spark, monkeypatch):
+    """Every word and n-gram counts, however rare; long, repeated and odd texts too."""
+    draw = random.Random(12)
+    makers = {"aa": "abcde", "bb": "bcdef", "cc": "defgé"}
+    rows = []
+    for i in range(90):
+        lang = list(makers)[i % 3]
+        words = ["".join(draw.choices(makers[lang], k=draw.randint(1, 7))) for _ in range(draw.randint(1, 30))]
+        rows.append((i, " ".join(words).title(), lang if i % 11 else None))
+    rows += [(3, rows[3][1], "aa"), (200, None, "aa"), (201, "12 _", "bb"), (202, "ωω x ωa", None), (203, "abc dég " * 40_000, None), (None, "fed", None)]
+    monkeypatch.setattr(langid, "REMEMBERED", 50)
+    df = frame(spark, rows)
+    want = brute.languages([r for r in rows if r[2]], [t for _, t, _ in rows])
+    got = langid.predict(df, langid.train(df)).collect()
+    found = sorted((str(r.doc_id), r.lang_pred, round(r.score, 6)) for r in got)
+    assert found == sorted((str(d), lang, round(score, 6)) for (d, _, _), (lang, score) in zip(rows, want, strict=True))
 
 
 def test_language_model_follows_the_contract(spark, tmp_path):
@@ -132,31 +153,92 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert (r.n_known, r.base_score) == (want[r.doc_id]["n_known"], pytest.approx(want[r.doc_id]["base_score"]))
 
 
+def ids(text):
+    return np.array([maxent.word_id(w) for w in maxent.split(text)], dtype=np.int64)
+
+
 def test_class_probabilities_sum_to_one():
     draw = np.random.default_rng(1)
     weights = draw.normal(size=(maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    data = maxent.Batch([maxent.split(b"a b c d"), maxent.split(None), maxent.split(b"x")], maxent._Ids())
-    logits = maxent.class_logits(weights, np.zeros(maxent.CLASSES, np.float32), data.features, slice(None))
+    data = maxent.Batch([ids(b"a b c d"), ids(None), ids(b"x")])
+    logits = maxent.class_logits(weights, np.zeros(maxent.CLASSES, np.float32), data.features(), slice(None))
     shares = maxent.softmax(logits.copy())
     assert np.allclose(shares.sum(axis=0), 1, atol=1e-5) and list(data.begins) == [0, 5, 6]
     picked = maxent.chosen_log_softmax(logits.copy(), data.classes)
     assert np.allclose(np.exp(picked), shares[data.classes, np.arange(len(picked))], atol=1e-5)
+    assert list(data.before[[0, 5, 6]]) == [0, 0, 0] and list(data.skipped[[0, 1, 6, 7]]) == [0] * 4
 
 
 def test_gradient_steps_learn():
     text = b" ".join([b"aa bb cc dd"] * 200)
     weights, scale = np.zeros((maxent.BUCKETS, maxent.CLASSES), np.float32), np.zeros(maxent.BUCKETS, np.float32)
-    bias, data = np.zeros(maxent.CLASSES, np.float32), maxent.Batch([maxent.split(text)], maxent._Ids())
+    bias, data = np.zeros(maxent.CLASSES, np.float32), maxent.Batch([ids(text)])
+    features = data.features()
 
     def loss():
-        return -maxent.chosen_log_softmax(maxent.class_logits(weights, bias, data.features, slice(None)), data.classes).mean()
+        return -maxent.chosen_log_softmax(maxent.class_logits(weights, bias, features, slice(None)), data.classes).mean()
 
     before = loss()
     for _ in range(20):
-        maxent.gradient_step(weights, scale, bias, data, slice(None))
+        maxent.gradient_step(weights, scale, bias, features, data.classes, slice(None))
     assert loss() < before / 3
 
 
+def test_bigram_weights_meet_their_constraints():
+    """The expected count of a feature is its observed one less the discount; a context's probabilities sum to 1."""
+    shares = {1: 0.5, 2: 0.2, 3: 0.2, 4: 0.1}
+    observed = [(7, 1, 3), (7, 2, 1), (7, 1, 2), (7, 3, 4), (9, 2, 1), (9, 3, 1)]
+    keys = np.array([(c << 24) | w for c, w, _ in observed], dtype=np.uint64)
+    found, gains, contexts, backs = maxent.solve_contexts(keys, np.array([shares[w] for _, w, _ in observed]), np.array([n for *_, n in observed]))
+    assert list(found) == [(7 << 24) | 1, (7 << 24) | 3] and list(contexts) == [7]
+    probability = {w: shares[w] * 10 ** backs[0] for w in shares}
+    probability |= {int(k) & 0xFFFFFF: shares[int(k) & 0xFFFFFF] * 10**g for k, g in zip(found, gains, strict=True)}
+    assert sum(probability.values()) == pytest.approx(1)
+    assert 10 * probability[1] == pytest.approx(5 - maxent.DISCOUNT) and 10 * probability[3] == pytest.approx(4 - maxent.DISCOUNT)
+    assert probability[2] / probability[4] == pytest.approx(2)
+    assert [len(x) for x in maxent.solve_contexts(keys[:0], np.empty(0), np.empty(0))] == [0, 0, 0, 0]
+
+
+def test_scores_follow_brute_force(spark, monkeypatch):
+    """Class softmax, shares of classes and bigram weights, word by word in plain Python."""
+    draw = random.Random(21)
+    words = ["".join(draw.choices("abcd", k=draw.randint(1, 4))) for _ in range(60)]
+    rows = [(i, " ".join(draw.choices(words, weights=range(60, 0, -1), k=draw.randint(0, 40))), "en") for i in range(150)]
+    rows += [(3, rows[3][1], "en"), (None, "a b unseen unseen2", "en"), (900, None, "en"), (901, "ab " * 20_000, "en")]
+    monkeypatch.setattr(maxent, "FREQUENT", 25)
+    kept = {}
+    fit = maxent.fit
+    monkeypatch.setattr(maxent, "fit", lambda *a: kept.setdefault("model", fit(*a)))
+    got = maxent.score_documents(frame(spark, rows)).collect()
+    model = kept["model"]
+    training = [t for d, t, _ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 10]
+    want = brute.maxent_scores(training, [t for _, t, _ in rows], model.weights, model.bias, set(model.shares.ids.tolist()))
+    assert 0 < len(model.shares.ids) <= 25
+    found = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    expected = sorted((str(d), len(maxent.split((t or "").encode())), x) for (d, t, _), x in zip(rows, want, strict=True))
+    for a, b in zip(found, expected, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-4, abs=1e-3), (a, b)
+
+
+def test_language_model_of_nothing(spark):
+    assert maxent.score_documents(frame(spark, [])).collect() == []
+    alone = maxent.score_documents(frame(spark, [(i, "x y", "en") for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0])).collect()
+    assert alone and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in alone)
+
+
+def test_repeated_documents_score_higher(spark):
+    """What occurs twice is known to the model, what occurs once is not."""
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(draw.choices(words, k=60)), "en") for i in range(120)]
+    rows += [(500 + i, rows[i][1], "en") for i in range(20)]
+    got = {r.doc_id: r.score / r.n_tokens for r in maxent.score_documents(frame(spark, rows)).collect()}
+    trained = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
+    twice = [got[i] for i in range(20) if trained(i) and trained(500 + i)]
+    once = [got[i] for i in range(20, 120)]
+    assert min(twice) > max(once)
+
+
 def near_rows(seed=8):
     draw = random.Random(seed)
     rows, i = [], 0
@@ -184,7 +266,7 @@ def test_links_between_members_are_found(spark):
     words = [f"w{k}" for k in range(200)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 60]), "en") for i in range(40)]
     got = minhash.near_groups(frame(spark, rows)).collect()
-    want = brute.near_groups({d: t for d, t, _ in rows})
+    want = brute.near_groups({d: t for d, t, _ in rows}, width=5)
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
@@ -193,12 +275,65 @@ def test_one_of_each_group_stays(spark):
     df = frame(spark, rows)
     out = minhash.keep_one(df)
     assert out.columns == df.columns
-    want = {d for d, (_, _, kept) in brute.near_groups({d: t for d, t, _ in near_rows()}).items() if kept}
+    want = {d for d, (_, _, kept) in brute.near_groups({d: t for d, t, _ in near_rows()}, width=5).items() if kept}
     assert sorted(r.doc_id for r in out.filter("doc_id < 500").collect()) == sorted(want)
     assert out.filter("doc_id = 500").count() == 1 and out.filter("doc_id is null").count() == 1
     assert minhash.keep_one(df.limit(0)).collect() == []
 
 
+def test_repeated_ids_with_different_texts(spark, monkeypatch):
+    """One row a group stays, also where a doc_id comes with two texts, and where groups count as hot."""
+    one, two, four = ("a b c d e f g h", "q r s t u v w x", "z y x w v u t s")
+    rows = [(1, one, "en"), (2, one, "en"), (2, two, "en"), (3, two, "en"), (None, two, "en"), (2, "", "en"), (2, "", "en"), (4, four, "de")]
+    rows += [(4, four, "de")] * 30 + [(10 + i, one, "fr") for i in range(30)]
+    monkeypatch.setattr(skew, "LEAST", 4)
+    monkeypatch.setattr(skew, "SHARE", 2)
+    df = frame(spark, rows)
+    kept = sorted(((r.doc_id, r.text) for r in minhash.keep_one(df).collect()), key=str)
+    assert kept == sorted([(1, one), (2, two), (2, ""), (2, ""), (4, four)], key=str)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_groups(df).collect()}
+    assert {(2, 1, False), (2, 2, True), (None, 2, False), (3, 2, False), (4, 4, True), (39, 1, False)} <= got
+
+
+def test_salted_joins_join(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 5)
+    monkeypatch.setattr(skew, "SHARE", 8)
+    many = spark.createDataFrame([(k, i) for k in range(20) for i in range(1 if k else 200)] + [(None, 1)], "k long, x long")
+    few = spark.createDataFrame([(k, f"v{k}") for k in range(0, 30, 2)] + [(0, "again")], "k long, v string")
+    got = sorted(tuple(r) for r in skew.salted_join(many, few, "k", "x").select("k", "x", "v").collect())
+    assert got == sorted(tuple(r) for r in many.join(few, "k").select("k", "x", "v").collect()) and len(got) > 400
+    odd = skew.salted_join(many, few, "k", "x", F.col("x") % 2 == 1).select("k", "x", "v")
+    assert odd.count() == sum(x % 2 for _, x, _ in got)
+    assert skew.salted_join(many.limit(0), few, "k", "x").count() == 0
+
+
+def test_key_filters_let_every_key_pass(spark):
+    keys = spark.range(0, 3000, 3).withColumnRenamed("id", "key")
+    rows = spark.range(3000).withColumn("wide", F.lit("x"))
+    words = skew.key_filter(keys)
+    likely, others = skew.split_by_filter(rows, F.col("id"), words)
+    passed, kept_out = ({r.id for r in part.collect()} for part in (likely, others))
+    assert passed >= set(range(0, 3000, 3)) and passed | kept_out == set(range(3000)) and not passed & kept_out
+    assert len(passed) < 1010 and likely.columns == rows.columns
+    nobody, all_rows = skew.split_by_filter(rows, F.col("id"), skew.key_filter(keys.limit(0)))
+    assert nobody.count() == 0 and all_rows.count() == 3000
+
+
+def test_bounds_lose_no_link(spark):
+    """Marks of long sets collide, yet every link is found."""
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(900)]
+    rows = []
+    for i in range(24):
+        words = list(base)
+        for _ in range(60 + 4 * (i % 6)):
+            words[draw.randrange(900)] = f"x{draw.randrange(40)}"
+        rows.append((i, " ".join(words), "en"))
+    got = minhash.near_groups(frame(spark, rows), width=2).collect()
+    want = brute.near_groups({d: t for d, t, _ in rows})
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(7, 7)]
@@ -233,10 +368,12 @@ def test_fingerprints_follow_the_contract(spark, tmp_path):
         edited = t[: len(t) - k] + following[:k]
         r = got[d]
         assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(edited)), d
-        assert r.fingerprint == spotsigs.fingerprint(spotsigs.signatures(t))
-        assert r.near_edited == spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(edited))
-        assert r.near_next == spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(following))
+        assert r.fingerprint == brute.fingerprint(t) and r.edited_fingerprint == brute.fingerprint(edited)
+        assert r.near_edited == brute.jaccard(brute.spots(t), brute.spots(edited))
+        assert r.near_next == brute.jaccard(brute.spots(t), brute.spots(following))
     assert got[1].fingerprint == got[rows[40][0]].fingerprint
+    want = brute.alike_groups({d: brute.spots(t) for d, t in text.items()})
+    assert {d: r.group_id for d, r in got.items()} == want and got[rows[40][0]].group_id == 1
 
 
 def test_fingerprints_of_few_documents(spark, tmp_path):
@@ -247,26 +384,41 @@ def test_fingerprints_of_few_documents(spark, tmp_path):
     assert sorted(str(r.doc_id) for r in twice) == ["1", "1", "None"]
 
 
-def test_similar_fingerprints(spark):
+def test_groups_of_like_documents(spark, monkeypatch):
+    """Near copies, chains of them, lengths at the edge, repeated ids, and hot keys."""
     draw = random.Random(4)
     vocabulary = [*"the of and to".split(), *(f"w{k}" for k in range(80))]
     rows = []
-    for i in range(40):
+    for i in range(30):
         words = draw.choices(vocabulary, weights=[8] * 4 + [1] * 80, k=120)
-        for j in range(3):
-            changed = list(words)
-            for _ in range(j * 2):
-                changed[draw.randrange(120)] = "new"
-            rows.append((i * 3 + j, " ".join(changed)))
-    sets = {d: spotsigs.signatures(t) for d, t in rows}
-    first: dict = {}
-    for d in sorted(sets):
-        first.setdefault(spotsigs.fingerprint(sets[d]), d)
-    ids = sorted(first.values())
-    want = {(a, b) for a in ids for b in ids if a < b and spotsigs.likeness(sets[a], sets[b]) >= 0.8}
-    df = spark.createDataFrame([(d, spotsigs.fingerprint(s)) for d, s in sets.items()], "doc_id long, fingerprint string")
-    got = {tuple(sorted((r.u, r.v))) for r in spotsigs.similar_documents(df).collect()}
-    assert got == want and len(want) > 20
+        for j in range(5):
+            rows.append((i * 5 + j, " ".join(words)))
+            words = list(words)
+            for _ in range(3):
+                words[draw.randrange(120)] = f"new{draw.randrange(9)}"
+    rows += [(1000 + k, " ".join(f"the a{i} b{i}" for i in range(n))) for k, n in enumerate([4, 5, 6, 8, 10, 13, 16, 20, 21])]
+    rows += [(2000 + i, rows[0][1]) for i in range(40)] + [(None, rows[0][1]), (None, "the only one"), (7, "another text of id seven"), (3000, None), (3001, "")]
+    monkeypatch.setattr(skew, "LEAST", 6)
+    monkeypatch.setattr(skew, "SHARE", 16)
+    df = frame(spark, [(d, t, "en") for d, t in rows])
+    sets = [brute.spots(t or "") for _, t in rows]
+    root = brute.alike_groups(dict(enumerate(sets)))
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[root[k]] = min([x for x in (least.get(root[k]), d) if x is not None], default=None)
+    got = spotsigs.fingerprint_neighbours(df, spotsigs.document_groups(df)).collect()
+    found = sorted((str(r.doc_id), r.fingerprint, str(r.group_id)) for r in got)
+    want = sorted((str(d), brute.fingerprint(t or ""), str(least[root[k]])) for k, (d, t) in enumerate(rows))
+    assert found == want
+    assert len({g for _, _, g in want}) < len(rows) - 80
+    assert spotsigs.document_groups(df.limit(0)).collect() == []
+
+
+def test_length_partitions_keep_likely_pairs_together():
+    least = spotsigs.length_partitions(80, 10_000)
+    for n in range(1, 3000):
+        a, b = (int(np.searchsorted(least, m, side="right")) for m in (n, n * 100 // 80))
+        assert b - a <= 1
 
 
 def test_scratch_needs_a_shared_folder(spark):
