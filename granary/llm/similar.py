@@ -25,12 +25,13 @@ def set_marks(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, marks: bool = False) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, marks: bool = False, width: int = 8) -> DataFrame:
     """Pairs (u, v) with the sizes n_u, n_v of their full sets and the size ``both`` of the intersection.
 
-    With ``marks`` also the marks of v's shingles that u lacks, and of u's
-    that v has not.
+    Elements have ``width`` bytes. With ``marks`` also the marks of v's
+    shingles that u lacks, and of u's that v has not.
     """
+    element = np.dtype(f"u{width}")
     one = sets.select(F.col("node").alias("u"), F.col("set").alias("set_u"))
     two = sets.select(F.col("node").alias("v"), F.col("set").alias("set_v"))
     joined = salted_join(salted_join(pairs, one, "u", "v"), two, "v", "u", like=pairs)
@@ -45,7 +46,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, marks: bool = False) -> DataFra
             out = {"u": batch["u"], "v": batch["v"], "n_u": [], "n_v": [], "both": []}
             seen = []
             for one, two in zip(batch["set_u"], batch["set_v"], strict=True):
-                a, b = np.frombuffer(one, dtype=np.uint64), np.frombuffer(two, dtype=np.uint64)
+                a, b = np.frombuffer(one, dtype=element), np.frombuffer(two, dtype=element)
                 common = np.intersect1d(a, b, assume_unique=True)
                 out["n_u"].append(len(a))
                 out["n_v"].append(len(b))
@@ -147,15 +148,17 @@ def _sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_similar(_at_most(SKETCH, [n_u, n_v]), n_u, n_v, percent)).select("u", "v")
 
 
-def link_nodes(nodes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], percent: int, sketched: bool = False) -> DataFrame:
+def link_nodes(
+    nodes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], percent: int, sketched: bool = False, width: int = 8
+) -> DataFrame:
     """(node, component) of all nodes that are linked: 100 * intersection >= percent * union of their sets.
 
     nodes has node, the size n of its set, and keys; nodes that have a key in
     common share a bucket, and links between nodes that share none are not
     looked for. ``find_sets`` gives (node, set) of the nodes of its argument,
-    a set as its sorted elements of eight bytes each. With ``sketched`` nodes
-    also have the marks of their whole sets, and pairs that these rule out
-    are not compared.
+    a set as its sorted elements of ``width`` bytes each (8 where there are
+    no sketches). With ``sketched`` nodes also have the marks of their whole
+    sets, and pairs that these rule out are not compared.
 
     Each bucket has a stand-in: the member whose buckets hold most nodes,
     which in a group of edited copies is the text that they come from or one
@@ -190,13 +193,13 @@ def link_nodes(nodes: DataFrame, find_sets: Callable[[DataFrame], DataFrame], pe
         pairs = materialize(_sketched(pairs, nodes, percent), "similar-stars")
     sets = find_sets(members)
     free_shuffles(nodes.sparkSession)
-    compared = materialize(_compared(pairs, sets, marks=not sketched), "similar-compared")
+    compared = materialize(_compared(pairs, sets, marks=not sketched, width=width), "similar-compared")
     parts = materialize(connected_components(_linked(compared, percent)), "similar-parts")
 
     mixed = _mixed(members, parts)
     across = _across_sketched(mixed, nodes, percent) if sketched else _across(mixed, compared, percent)
     across = materialize(across, "similar-across")
-    more = materialize(_linked(_compared(across, sets), percent), "similar-links")
+    more = materialize(_linked(_compared(across, sets, width=width), percent), "similar-links")
     if not more.isEmpty():
         edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
         parts = materialize(connected_components(edges), "similar-parts")

@@ -283,9 +283,12 @@ def length_partitions(percent: int, longest: int = 1 << 31) -> np.ndarray:
 def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     """(node, n, keys, marks): a key for each of a set's rarest signatures in its own length partition and in the next.
 
-    Sets of n that are ``percent`` alike share one of their first
-    n - ceil(percent n) + 1 signatures in any fixed order of all signatures;
-    the order is by the counts of their cells, then by value.
+    Sets that have o signatures in common share one of their first n - o + 1
+    in any fixed order of all signatures; the order is by the counts of their
+    cells, then by value. Of two that are ``percent`` alike, o is at least
+    ``percent`` of each, and at least 2 percent / (100 + percent) of the
+    smaller one's n. In the next partition a set meets none that is smaller,
+    so it needs fewer keys there than in its own.
     """
     shared = classes.sparkSession.sparkContext.broadcast(_often(classes))
     partitions = length_partitions(percent)
@@ -294,9 +297,9 @@ def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     def keys(found: np.ndarray) -> np.ndarray:
         n = len(found)
         order = np.lexsort((found, shared.value[found % CELLS]))
-        rare = found[order[: n - -(-percent * n // 100) + 1]].astype(np.uint64)
         own = int(np.searchsorted(partitions, n, side="right"))
-        both = np.concatenate([rare << np.uint64(32) | np.uint64(p) for p in (own, own + 1)])
+        shared_least = (own, -(-percent * n // 100)), (own + 1, -(-2 * percent * n // (100 + percent)))
+        both = np.concatenate([found[order[: n - o + 1]].astype(np.uint64) << np.uint64(32) | np.uint64(p) for p, o in shared_least])
         both = (both ^ (both >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         return (both ^ (both >> np.uint64(29))).view(np.int64)
 
@@ -315,19 +318,6 @@ def _keyed(classes: DataFrame, percent: int) -> DataFrame:
     return map_batches(classes.select("node", "set"), f"node bigint, n bigint, keys array<bigint>, {marks}", start)
 
 
-def _wide(sets: DataFrame) -> DataFrame:
-    """(node, set) with elements of eight bytes."""
-
-    def start():
-        def step(batch):
-            if batch is not None:
-                yield {"node": batch["node"], "set": [x.astype(np.uint64).tobytes() for x in _unpacked(batch["set"])]}
-
-        return step
-
-    return map_batches(sets.select("node", "set"), "node bigint, set binary", start)
-
-
 def document_groups(docs: DataFrame, percent: int = ALIKE) -> DataFrame:
     """(doc_id, digest, group_id) of the documents whose group has a smaller doc_id than theirs.
 
@@ -354,9 +344,9 @@ def document_groups(docs: DataFrame, percent: int = ALIKE) -> DataFrame:
     nodes = materialize(_keyed(classes, percent), "spots-nodes")
 
     def find_sets(members: DataFrame) -> DataFrame:
-        return materialize(_wide(classes.join(members.select("node").distinct(), "node", "left_semi")), "spots-sets")
+        return materialize(classes.select("node", "set").join(members.select("node").distinct(), "node", "left_semi"), "spots-sets")
 
-    parts = link_nodes(nodes, find_sets, percent, sketched=True)
+    parts = link_nodes(nodes, find_sets, percent, sketched=True, width=4)
     linked = classes.select("node", "source", "digest").join(parts, "node", "left")
     linked = materialize(linked.select("source", "digest", F.coalesce("component", "node").alias("component")), "spots-linked")
     smallest = linked.groupBy("component").agg(F.min("source")["doc_id"].alias("group_id"))

@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, langid, maxent, minhash, queries, skew, spotsigs
+from granary.llm import bpe, langid, maxent, minhash, queries, similar, skew, spotsigs
 from granary.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, node string"
@@ -421,6 +421,32 @@ def test_length_partitions_keep_likely_pairs_together():
         assert b - a <= 1
 
 
+def test_keys_are_few_and_meet(spark):
+    """Sets of each size around the edges of partitions share a key with all that are alike; in the next partition they have fewer."""
+    draw = random.Random(8)
+    sets = {}
+    for n in [*range(1, 40), 98, 99, 100, 101, 121, 122, 124, 125, 126]:
+        whole = draw.sample(range(1, 1 << 32), n)
+        for drop in {0, n // 9, n // 5}:
+            sets[len(sets)] = set(whole[drop:])
+    rows = [(i, np.sort(np.array(list(s), dtype=np.uint32)).tobytes()) for i, s in sets.items()]
+    got = {r.node: r for r in spotsigs._keyed(spark.createDataFrame(rows, "node long, set binary"), 80).collect()}
+    for i, s in sets.items():
+        assert got[i].n == len(s)
+        assert len(got[i]["keys"]) == 2 * len(s) + 2 - -(-80 * len(s) // 100) - -(-160 * len(s) // 180)
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 80 * len(s | sets[j]):
+                assert set(got[i]["keys"]) & set(got[j]["keys"])
+
+
+def test_sets_of_four_bytes_are_compared(spark):
+    sets = {1: [3, 5, 1 << 31], 2: [3, 1 << 31, (1 << 32) - 1], 3: [7]}
+    rows = [(node, np.array(s, dtype=np.uint32).tobytes()) for node, s in sets.items()]
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "u long, v long")
+    got = similar._compared(pairs, spark.createDataFrame(rows, "node long, set binary"), width=4).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 3, 3, 2), (1, 3, 3, 1, 0)]
+
+
 def test_scratch_needs_a_shared_folder(spark):
     from granary.scratch import shared_root
 
