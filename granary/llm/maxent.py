@@ -51,6 +51,8 @@ GATHERED = 1_000_000
 #: Training tokens whose bigrams one partition of the weight table holds, about.
 PARTITION_TOKENS = 4_000_000
 LEAST_PARTITIONS = 12
+#: The texts ask for their words' weights and counts in so many turns, one after the other, so that a share of the requests is on disk at once.
+TURNS = 4
 SMOOTHING = 0.1
 #: A bigram is a feature if it occurred so often; its count is lowered by DISCOUNT.
 FEATURE_COUNT = 2
@@ -432,10 +434,12 @@ def bigram_table(training: DataFrame, shares: Shares, partitions: int) -> DataFr
 
 
 def bigram_scores(rows: DataFrame, table: DataFrame, shares: Shares, partitions: int, rid: str) -> DataFrame:
-    """(rid, gain): what the bigram weights add to log10 of the shares; a text has a row for each part of the table that it meets.
+    """(rid, gain): what the bigram weights add to log10 of the shares; a row for each text that meets any part of the table.
 
     Tokens go to the part that has their context, in the order of their texts,
-    as keys; how many of them each text has goes with them.
+    as keys; how many of them each text has goes with them. An answer has the
+    sums of all texts of a request as arrays, and goes back to where those of
+    the same texts (``chunk``, the first one's id) are added up.
     """
     shared = rows.sparkSession.sparkContext.broadcast(shares)
 
@@ -456,7 +460,7 @@ def bigram_scores(rows: DataFrame, table: DataFrame, shares: Shares, partitions:
                         "a": [keys[at : at + GATHERED][places].tobytes() for _, places in asked],
                         "b": [n.astype(np.uint32).tobytes() for _, n in owners],
                         "c": [ids[first + own].tobytes() for own, _ in owners],
-                        "d": [None] * len(asked),
+                        "d": [ids[first : first + 1].tobytes()] * len(asked),
                     }
 
         return step
@@ -492,15 +496,39 @@ def bigram_scores(rows: DataFrame, table: DataFrame, shares: Shares, partitions:
                 keys = np.frombuffer(blobs[0], dtype=np.uint64)
                 seen, gains = looked_up(model[0], model[1], keys)
                 _, backs = looked_up(model[2], model[3], _context(keys))
-                own = np.frombuffer(blobs[2], dtype=np.int64)
                 ends = np.cumsum(np.frombuffer(blobs[1], dtype=np.uint32), dtype=np.int64)
-                yield {"rid": own, "gain": np.add.reduceat(np.where(seen, gains, backs), np.append(0, ends[:-1]))}
+                sums = np.add.reduceat(np.where(seen, gains, backs).astype(np.float64), np.append(0, ends[:-1]))
+                chunk = np.frombuffer(blobs[3], dtype=np.int64)
+                yield {"chunk": chunk, "part": [p], "rids": [blobs[2]], "gains": [sums.tobytes()]}
+
+        return step
+
+    def add():
+        chunk, rids, gains = None, [], []
+
+        def flush() -> Iterator[dict]:
+            found, at = np.unique(np.concatenate(rids), return_inverse=True)
+            yield {"rid": found, "gain": np.bincount(at, weights=np.concatenate(gains))}
+            rids.clear()
+            gains.clear()
+
+        def step(batch):
+            nonlocal chunk
+            for c, own, sums in zip(*(batch[k] for k in ("chunk", "rids", "gains")), strict=True) if batch else ():
+                if c != chunk and rids:
+                    yield from flush()
+                chunk = c
+                rids.append(np.frombuffer(own, dtype=np.int64))
+                gains.append(np.frombuffer(sums, dtype=np.float64))
+            if batch is None and rids:
+                yield from flush()
 
         return step
 
     asked = map_batches(rows.select(rid, "ids"), _ROW, ask)
     met = table.unionByName(asked).repartition(partitions, "part").sortWithinPartitions("part", "kind")
-    return map_batches(met, "rid bigint, gain double", answer)
+    answers = map_batches(met, "chunk bigint, part int, rids binary, gains binary", answer)
+    return map_batches(answers.repartition("chunk").sortWithinPartitions("chunk", "part"), "rid bigint, gain double", add)
 
 
 def score_documents(docs: DataFrame, held_out_every: int = 10) -> DataFrame:
@@ -631,6 +659,29 @@ def _scored(rows: DataFrame, rid: str, counts: DataFrame, model: Model) -> DataF
         "words array<bigint>, times array<bigint>"
     )
     scored = materialize(map_batches(rows, schema, start), "maxent-rows")
+    turn = F.pmod(F.xxhash64(F.lit("turn"), F.col(rid)), F.lit(TURNS))
+    more = None
+    for i in range(TURNS):
+        found = materialize(_asked(rows.filter(turn == i), rid, scored.filter(turn == i), counts, model), "maxent-more")
+        free_shuffles(rows.sparkSession)
+        more = found if more is None else more.unionByName(found)
+    nothing = F.lit(0.0)
+    joined = scored.drop("words", "times").join(more, F.col(rid) == F.col("rid"), "left")
+    logs = F.col("logs") + F.coalesce("more_logs", nothing)
+    unit = math.log10(model.tokens + SMOOTHING * (model.distinct + 1))
+    return joined.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (logs - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
+        (F.col("context_score") + F.coalesce("gain", nothing)).alias("score"),
+    )
+
+
+def _asked(rows: DataFrame, rid: str, scored: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
+    """(rid, more_logs, more_known, gain): what the counts of rare words and the bigram weights add, for each text that meets any."""
     n = F.coalesce(F.col("n"), F.lit(0))
     nothing = F.lit(0.0)
     rare = (
@@ -647,18 +698,6 @@ def _scored(rows: DataFrame, rid: str, counts: DataFrame, model: Model) -> DataF
     gains = bigram_scores(rows, model.bigrams, model.shares, model.partitions, rid).select(
         "rid", nothing.alias("logs"), F.lit(0).cast("long").alias("known"), "gain"
     )
-    more = rare.unionByName(gains).groupBy("rid").agg(
+    return rare.unionByName(gains).groupBy("rid").agg(
         F.sum("logs").alias("more_logs"), F.sum("known").alias("more_known"), F.sum("gain").alias("gain")
     )
-    joined = scored.drop("words", "times").join(more, F.col(rid) == F.col("rid"), "left")
-    logs = F.col("logs") + F.coalesce("more_logs", nothing)
-    unit = math.log10(model.tokens + SMOOTHING * (model.distinct + 1))
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("context_score") + F.coalesce("gain", nothing)).alias("score"),
-    )

@@ -220,6 +220,29 @@ def test_scores_follow_brute_force(spark, monkeypatch):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=2e-4, abs=1e-3), (a, b)
 
 
+def test_texts_ask_in_turns(spark, monkeypatch):
+    """Each text asks for its weights in one turn, no turn has all of them, and the scores are those of a single turn."""
+    draw = random.Random(5)
+    words = [f"{c}{k}" for c in "abcdef" for k in range(8)]
+    df = frame(spark, [(i, " ".join(draw.choices(words, k=draw.randint(0, 30))), "en") for i in range(60)])
+    turns, score = [], maxent.bigram_scores
+
+    def watched(rows, table, shares, partitions, rid):
+        turns.append([r[rid] for r in rows.select(rid).collect()])
+        gains = score(rows, table, shares, partitions, rid)
+        assert partitions > 1
+        assert gains.count() == gains.select("rid").distinct().count()  # not one for each part that a text meets
+        return gains
+
+    monkeypatch.setattr(maxent, "bigram_scores", watched)
+    got = sorted(map(tuple, maxent.score_documents(df).collect()))
+    assert len(turns) > 1 and max(map(len, turns)) < 60
+    assert len({r for t in turns for r in t}) == sum(map(len, turns)) == 60
+    monkeypatch.setattr(maxent, "TURNS", 1)
+    for one, other in zip(got, sorted(map(tuple, maxent.score_documents(df).collect())), strict=True):
+        assert one[:5] == other[:5] and one[5:] == pytest.approx(other[5:])
+
+
 def test_language_model_of_nothing(spark):
     assert maxent.score_documents(frame(spark, [])).collect() == []
     alone = maxent.score_documents(frame(spark, [(i, "x y", "en") for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0])).collect()
