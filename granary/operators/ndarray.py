@@ -22,10 +22,13 @@ from pyspark.sql import types as T
 
 from granary.expr import INF, NAN, Bound, Expr, compile_text, kind_of
 from granary.functions import REGISTRY
+from granary.operators import packed as packing
 from granary.operators.table import dense_positions
 from granary.scratch import materialize
 
 _INT_MIN, _INT_MAX = -(1 << 63), (1 << 63) - 1
+#: Cells in one stream of a packed array.
+PACKED_CELLS = 65_536
 
 
 def axis(i: int) -> str:
@@ -267,7 +270,7 @@ class Array:
         return out if postfilter is None else elementwise(postfilter, out)
 
     def to_bytes(self) -> bytes:
-        """Arrow IPC bytes of the flat values, with the shape in the schema's metadata."""
+        """Arrow IPC bytes of the flat values, with the shape in the schema's metadata; ``pack`` has no bound on their number."""
         flat = self.to_numpy().reshape(-1)
         batch = pa.table({"v": flat}).replace_schema_metadata({"shape": ",".join(map(str, self.shape))})
         sink = pa.BufferOutputStream()
@@ -282,6 +285,17 @@ class Array:
         shape = [int(n) for n in text.split(",")] if text else []
         return array(spark, found["v"].to_numpy().reshape(shape))
 
+    def pack(self, cells: int = PACKED_CELLS) -> DataFrame:
+        """Arrow IPC bytes of the flat values, a row per stretch of them, made by the executors; the shape is in the metadata."""
+        out = packing.pack(self.df.select(self.flat_index().alias("__at"), "v"), "__at", cells)
+        return out.withMetadata("stream", out.schema["stream"].metadata | {"shape": ",".join(map(str, self.shape))})
+
+    @staticmethod
+    def unpack(packed: DataFrame) -> Array:
+        """The array of what ``pack`` made."""
+        text = packed.schema["stream"].metadata["shape"]
+        return _shaped(packing.unpack(packed, "id"), [int(n) for n in text.split(",")] if text else [])
+
     # Reductions as methods
 
     def __getattr__(self, name: str):
@@ -416,11 +430,16 @@ def array(spark: SparkSession, values: Any) -> Array:
         plain = flat.astype({"long": np.int64, "double": np.float64}.get(kind, flat.dtype))
         df = spark.createDataFrame(pa.table({"id": np.arange(len(flat)), "v": pa.array(plain.tolist() if kind == "string" else plain)}))
         df = df.withColumn("v", F.col("v").cast(kind))
-    rest, names = values.size, []
-    for i, n in enumerate(values.shape):
+    return _shaped(df, values.shape)
+
+
+def _shaped(df: DataFrame, shape: Sequence[int]) -> Array:
+    """An array of cells (id, v) that are numbered in C order."""
+    rest, names = math.prod(shape), []
+    for i, n in enumerate(shape):
         rest //= max(1, n)
         names.append((F.floor(F.col("id") / max(1, rest)) % n).cast("long").alias(axis(i)))
-    return Array(df.select(*names, "v"), values.shape)
+    return Array(df.select(*names, "v"), shape)
 
 
 asarray = array
