@@ -233,10 +233,15 @@ class Array:
 
     def chunks_info(self, chunks: Sequence[int]) -> DataFrame:
         """A row per chunk of a grid: its number, cells, and least and greatest value."""
+        number = self.chunk_number(chunks)
+        return self.df.groupBy(number.alias("chunk")).agg(F.count(F.lit(1)).alias("cells"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+    def chunk_number(self, chunks: Sequence[int]) -> Column:
+        """The number, in C order of a grid of chunks, of the chunk that a cell lies in."""
         number = F.lit(0).cast("long")
         for name, n, c in zip(self.axes, self.shape, chunks, strict=True):
             number = number * math.ceil(n / c) + F.floor(F.col(name) / c)
-        return self.df.groupBy(number.alias("chunk")).agg(F.count(F.lit(1)).alias("cells"), F.min("v").alias("low"), F.max("v").alias("high"))
+        return number
 
     def create_index(self, kind: str = "FULL"):
         """An index of the cells by value; its ``between`` gives a table of places and values."""

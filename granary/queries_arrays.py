@@ -344,8 +344,7 @@ def array_index_between(spark, sf_dir):
 @query(f"SELECT i AS i0, j AS i1, v FROM {_M} WHERE i < 30 AND j >= 32")
 def array_source(spark, sf_dir):
     """A chunked source, of which a slice fetches only the chunks that it touches, twice through a cache."""
-    x = _matrix(spark, sf_dir)
-    proxy = connector.Proxy(spark, connector.NumpySource(x.to_numpy(), (20, 16)))
+    proxy = connector.Proxy(spark, connector.ArraySource(_matrix(spark, sf_dir), (20, 16)))
     proxy.fetch((slice(0, 10), slice(0, 64)))
     return nd.Array(proxy.fetch((slice(0, 30), slice(32, 64))).df.select("i0", (F.col("i1") + 32).alias("i1"), "v"), (30, 64)).df
 

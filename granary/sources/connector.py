@@ -1,4 +1,4 @@
-"""Chunked sources of arrays: subclass ChunkSource and read it with one Spark partition per chunk."""
+"""Chunked sources of arrays: subclass ChunkSource and read it with one Spark partition per chunk, or wrap an array in ArraySource."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from granary.operators.ndarray import Array
@@ -60,6 +61,57 @@ class NumpySource(ChunkSource):
         return self.values[tuple(slice(i * c, (i + 1) * c) for i, c in zip(index, self._chunks, strict=True))]
 
 
+#: Chunks that a filter lists; more are joined.
+MOST_LISTED = 1000
+
+
+class ArraySource(ChunkSource):
+    """A distributed array as a source, of any size: its cells lie in a scratch table, sorted by chunk.
+
+    Spark itself reads the chunks that are asked for, so this source is not
+    pickled and no chunk passes through the driver unless ``get_chunk`` is called.
+    """
+
+    def __init__(self, x: Array, chunks: Sequence[int]):
+        if x.kind not in ("int", "float"):
+            raise TypeError(f"a source has numbers: {x.kind}")
+        self._shape, self._chunks = x.shape, tuple(chunks)
+        self._dtype = np.dtype(np.float64 if x.kind == "float" else np.int64)
+        value = F.col("v").cast("double" if x.kind == "float" else "long")
+        numbered = x.df.select(*x.axes, value.alias("v"), x.chunk_number(self._chunks).alias("__chunk"))
+        self._stored = materialize(numbered.orderBy("__chunk"), "source")
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return self._shape
+
+    @property
+    def chunks(self) -> tuple[int, ...]:
+        return self._chunks
+
+    @property
+    def dtype(self) -> np.dtype:
+        return self._dtype
+
+    def cells(self, wanted: Sequence[tuple[int, ...]]) -> DataFrame:
+        """The cells of chunks at places of the chunk grid."""
+        grid = [math.ceil(n / c) for n, c in zip(self._shape, self._chunks, strict=True)]
+        numbers = sorted({int(np.ravel_multi_index(at, grid)) if grid else 0 for at in wanted})
+        stored = self._stored
+        if len(numbers) == math.prod(grid):
+            return stored.drop("__chunk")
+        if len(numbers) <= MOST_LISTED:
+            return stored.filter(F.col("__chunk").isin(numbers)).drop("__chunk")
+        chosen = stored.sparkSession.createDataFrame(pa.table({"__chunk": pa.array(numbers, pa.int64())}))
+        return stored.join(chosen, "__chunk", "left_semi").drop("__chunk")
+
+    def get_chunk(self, index: tuple[int, ...]) -> np.ndarray:
+        starts = [i * c for i, c in zip(index, self._chunks, strict=True)]
+        sizes = [min(c, n - a) for a, c, n in zip(starts, self._chunks, self._shape, strict=True)]
+        axes = [(F.col(f"i{k}") - a).alias(f"i{k}") for k, a in enumerate(starts)]
+        return Array(self.cells([index]).select(*axes, "v"), sizes).to_numpy()
+
+
 class _Chunk(InputPartition):
     def __init__(self, index: tuple[int, ...]):
         self.index = index
@@ -93,6 +145,8 @@ def _touched(source: ChunkSource, key: Sequence[slice] | None) -> list[tuple[int
 
 
 def _read(spark: SparkSession, source: ChunkSource, wanted: Sequence[tuple[int, ...]]) -> Array:
+    if isinstance(source, ArraySource):
+        return Array(source.cells(wanted), source.shape)
     kind = "double" if source.dtype.kind == "f" else "long"
     name = f"granary_chunks_{uuid.uuid4().hex}"
 

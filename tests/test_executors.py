@@ -5,11 +5,12 @@ import pytest
 
 from granary.operators import ndarray as nd
 from granary.queries import queries
+from granary.sources import connector
 
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed"]
+WHOLE = ["array_packed", "array_source"]
 
 
 @pytest.fixture
@@ -42,3 +43,23 @@ def test_packed_arrays(spark):
         assert found.shape == values.shape
         np.testing.assert_array_equal(found.to_numpy(), values)
     assert nd.Array.unpack(nd.zeros(spark, (0, 3)).pack()).to_numpy().shape == (0, 3)
+
+
+def test_array_source(spark, monkeypatch):
+    x = np.arange(35, dtype=float).reshape(5, 7)
+    source = connector.ArraySource(nd.array(spark, x), (2, 3))
+    assert (source.shape, source.chunks) == ((5, 7), (2, 3))
+    np.testing.assert_array_equal(source.get_chunk((2, 2)), x[4:, 6:])
+    np.testing.assert_array_equal(connector.read_source(spark, source).to_numpy(), x)
+    asked, cells = [], source.cells
+    monkeypatch.setattr(source, "cells", lambda wanted: asked.append(sorted(wanted)) or cells(wanted))
+    for most in (1000, 1):
+        monkeypatch.setattr(connector, "MOST_LISTED", most)
+        proxy = connector.Proxy(spark, source)
+        asked.clear()
+        np.testing.assert_array_equal(proxy.fetch((slice(0, 2), slice(0, 4))).to_numpy(), x[:2, :4])
+        np.testing.assert_array_equal(proxy.fetch((slice(0, 4), slice(2, 5))).to_numpy(), x[:4, 2:5])
+        assert asked == [[(0, 0), (0, 1)], [(1, 0), (1, 1)]]
+    whole = connector.ArraySource(nd.array(spark, np.array([3, 1, 2])), (2,))
+    assert whole.dtype == np.int64 and proxy.fetch((slice(0, 0), slice(0, 7))).size == 0
+    np.testing.assert_array_equal(connector.read_source(spark, whole).to_numpy(), [3, 1, 2])
