@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from granary.expr import NAN, Bound, field, quoted
 
 if TYPE_CHECKING:
+    from granary.operators.table import Column as TableColumn
     from granary.operators.table import Table
 
 OPERATIONS = ("size", "count", "sum", "mean", "min", "max", "argmin", "argmax")
@@ -196,14 +197,32 @@ def aggregate(bound: Bound, op: str, position: Column) -> Column:
     return F.coalesce(-greatest["p"], F.lit(-1).cast("long"))
 
 
+#: Operations that reduce arrays or columns by key.
+REDUCTIONS = ("size", "count", "sum", "mean", "min", "max")
+
+
 def group_reduce(spark: SparkSession, keys: Any, values: Any = None, op: str = "size", *, sort: bool | None = None, dropna: bool = True) -> pd.DataFrame:
-    """Reduce arrays by key: a frame of (key, value). NaN values are skipped; NaN keys come last if kept."""
-    if op not in ("size", "count", "sum", "mean", "min", "max"):
-        raise ValueError(f"unknown aggregation {op!r}")
+    """Reduce arrays that the driver holds by key: a frame of (key, value). NaN values are skipped; NaN keys come last if kept."""
     data = {"key": np.asarray(keys)}
     if values is not None:
         data["value"] = np.asarray(values)
-    df = spark.createDataFrame(pd.DataFrame(data))
+    grouped = _reduced(spark.createDataFrame(pd.DataFrame(data)), op, dropna)
+    if sort is not False:
+        grouped = grouped.orderBy(F.col("key").asc_nulls_last())
+    return grouped.toPandas()
+
+
+def reduce_columns(keys: TableColumn, values: TableColumn | None = None, op: str = "size", *, dropna: bool = True) -> DataFrame:
+    """``group_reduce`` of columns of one table: a DataFrame of (key, value), in no order, of which nothing goes through the driver."""
+    if values is not None and values.table is not keys.table:
+        raise ValueError("keys and values are columns of one table")
+    named = [keys.bound.col.alias("key")] + ([] if values is None else [values.bound.col.alias("value")])
+    return _reduced(keys.table.df.select(*named), op, dropna)
+
+
+def _reduced(df: DataFrame, op: str, dropna: bool) -> DataFrame:
+    if op not in REDUCTIONS:
+        raise ValueError(f"unknown aggregation {op!r}")
     bound = field(df.schema, "key")
     df = df.withColumn("key", _key(bound))
     if dropna:
@@ -214,7 +233,4 @@ def group_reduce(spark: SparkSession, keys: Any, values: Any = None, op: str = "
         value = field(df.schema, "value")
         clean = F.when(~F.isnan(value.col), value.col) if value.kind == "float" else value.col
         out = aggregate(Bound(clean, value.kind), op, F.lit(0))
-    grouped = df.groupBy("key").agg(out.alias("value"))
-    if sort is not False:
-        grouped = grouped.orderBy(F.col("key").asc_nulls_last())
-    return grouped.toPandas()
+    return df.groupBy("key").agg(out.alias("value"))

@@ -4,13 +4,15 @@ import numpy as np
 import pytest
 
 from granary.operators import ndarray as nd
+from granary.operators.groupby import group_reduce, reduce_columns
+from granary.operators.table import Table
 from granary.queries import queries
 from granary.sources import connector
 
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed", "array_source"]
+WHOLE = ["array_packed", "array_source", "group_reduced_arrays"]
 
 
 @pytest.fixture
@@ -63,3 +65,19 @@ def test_array_source(spark, monkeypatch):
     whole = connector.ArraySource(nd.array(spark, np.array([3, 1, 2])), (2,))
     assert whole.dtype == np.int64 and proxy.fetch((slice(0, 0), slice(0, 7))).size == 0
     np.testing.assert_array_equal(connector.read_source(spark, whole).to_numpy(), [3, 1, 2])
+
+
+def test_reduced_columns(spark):
+    nan = float("nan")
+    data = [(1.0, 4.0), (1.0, nan), (2.0, None), (nan, 7.0), (None, 8.0), (-0.0, 1.0), (0.0, 2.0)]
+    t = Table.from_frame(spark.createDataFrame(data, "k double, v double"))
+    keys, values = (np.array([nan if x is None else x for x in c]) for c in zip(*data, strict=True))
+    for op in ("size", "count", "sum", "mean", "min", "max"):
+        for dropna in (True, False):
+            got = reduce_columns(t["k"], None if op == "size" else t["v"], op, dropna=dropna).orderBy("key").toPandas().astype(float)
+            want = group_reduce(spark, keys, None if op == "size" else values, op, dropna=dropna).sort_values("key", na_position="first").astype(float)
+            np.testing.assert_array_equal(got.to_numpy(), want.to_numpy(), err_msg=op)
+    with pytest.raises(ValueError):
+        reduce_columns(t["k"], t.where("v > 1")["v"], "sum")
+    with pytest.raises(ValueError):
+        reduce_columns(t["k"], t["v"], "median")
