@@ -375,9 +375,18 @@ class Table:
             yield row(*r)
 
     def argsort(self, columns: Any, ascending: Any = True) -> np.ndarray:
+        """The positions of the rows in sorted order, on the driver; ``argsort_frame`` has no bound on their number."""
         found = self.numbered()
         return np.array([r[0] for r in found.df.orderBy(*found._sort_keys(columns, ascending), POS).select(POS).collect()])
 
+    def argsort_frame(self, columns: Any, ascending: Any = True) -> DataFrame:
+        """``argsort`` as a DataFrame of (place, position): place in the sorted order, and position of the row that has it."""
+        found = self.numbered()
+        names = dict.fromkeys([columns] if isinstance(columns, str) else columns)
+        narrow = found.select(list(names))
+        placed = dense_positions(narrow.df, [*narrow._sort_keys(columns, ascending), F.col(POS)], "__place")
+        return placed.select(F.col("__place").alias("place"), F.col(POS).alias("position"))
+
     # Aggregation
 
     def group_by(self, keys: Any, *, sort: bool | None = None, dropna: bool = True, engine: str = "auto") -> GroupBy:

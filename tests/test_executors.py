@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.operators import ndarray as nd
 from granary.operators.groupby import group_reduce, reduce_columns
@@ -12,7 +13,7 @@ from granary.sources import connector
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed", "array_source", "group_reduced_arrays"]
+WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions"]
 
 
 @pytest.fixture
@@ -81,3 +82,14 @@ def test_reduced_columns(spark):
         reduce_columns(t["k"], t.where("v > 1")["v"], "sum")
     with pytest.raises(ValueError):
         reduce_columns(t["k"], t["v"], "median")
+
+
+def test_argsort_frame(spark):
+    nan = float("nan")
+    rows = [(2, 3.0, "b"), (0, nan, "a"), (1, None, "c"), (3, 1.0, None), (5, 3.0, "a"), (4, -1.0, "b")]
+    t = Table.from_frame(spark.createDataFrame(rows, "id long, v double, s string").repartition(3), ordered_by=[F.col("id")])
+    for columns, ascending in (("v", True), ("v", False), (["s", "v"], [False, True]), (["s"], True), (["id", "id"], [False, True])):
+        found = t.argsort_frame(columns, ascending).orderBy("place").collect()
+        assert [r.place for r in found] == list(range(6))
+        assert [r.position for r in found] == list(t.argsort(columns, ascending)), columns
+    assert t.where("id > 9").argsort_frame("v").count() == 0
