@@ -812,7 +812,18 @@ class Column:
     def take(self, positions: Sequence[int]) -> np.ndarray:
         return np.array([r[0] for r in self.table.select([self.name]).take(positions).ordered_frame.collect()])
 
+    def chunk_frame(self, size: int) -> DataFrame:
+        """``iter_chunks`` as a DataFrame: the number of each chunk and an array of its values in order, made by the executors."""
+        if size < 1:
+            raise ValueError("a chunk has one value at least")
+        found = self.table.select([self.name]).numbered()
+        chunk = ((F.col(POS) - F.col(POS) % size) / size).cast("long")
+        cell = F.struct(F.col(POS).alias("at"), field(found.schema, self.name).col.alias("v"))
+        cells = found.df.groupBy(chunk.alias("chunk")).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+        return cells.select("chunk", F.col("cells.v").alias("values"))
+
     def iter_chunks(self, size: int) -> Iterator[np.ndarray]:
+        """The values in order, ``size`` at a time, on the driver; ``chunk_frame`` leaves them on the executors."""
         held = []
         for row in self.table.select([self.name]).ordered_frame.toLocalIterator():
             held.append(row[0])

@@ -13,7 +13,7 @@ from granary.sources import connector
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions"]
+WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions", "column_chunks"]
 
 
 @pytest.fixture
@@ -93,3 +93,15 @@ def test_argsort_frame(spark):
         assert [r.place for r in found] == list(range(6))
         assert [r.position for r in found] == list(t.argsort(columns, ascending)), columns
     assert t.where("id > 9").argsort_frame("v").count() == 0
+
+
+def test_chunk_frame(spark):
+    rows = [((i * 7) % 11, None if i == 4 else float(i)) for i in range(11)]
+    t = Table.from_frame(spark.createDataFrame(rows, "id long, v double").repartition(3), ordered_by=[F.col("id")])
+    for size in (1, 4, 11, 20):
+        found = {r.chunk: r["values"] for r in t["v"].chunk_frame(size).collect()}
+        want = list(t["v"].iter_chunks(size))
+        assert [found[i] for i in range(len(found))] == [list(x) for x in want]
+    assert t.where("id > 20")["v"].chunk_frame(4).count() == 0
+    with pytest.raises(ValueError):
+        t["v"].chunk_frame(0)
