@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from granary import schema as S
 from granary.expr import quoted
+from granary.operators import packed as packing
 from granary.operators.table import POS, Table
 from granary.scratch import scratch_folder
 
@@ -161,7 +162,7 @@ def from_arrow(spark: SparkSession, data: Any, batches: Iterable[pa.RecordBatch]
 
 
 def iter_arrow_batches(table: Table, rows: int = 65_536) -> Iterator[pa.RecordBatch]:
-    """Record batches in order, with one partition on the driver at a time."""
+    """Record batches in order, with one partition on the driver at a time; ``pack_batches`` leaves them on the executors."""
     df = table.ordered_frame
     names, held = df.columns, []
     arrow = None
@@ -175,6 +176,16 @@ def iter_arrow_batches(table: Table, rows: int = 65_536) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema=arrow or _arrow_schema(df))
 
 
+def pack_batches(table: Table, rows: int = 65_536) -> DataFrame:
+    """``iter_arrow_batches`` as a DataFrame of (start, stream): Arrow IPC bytes of every ``rows`` rows in order, made by the executors."""
+    return packing.pack(table.numbered().df.select(*[F.col(quoted(c)) for c in table.columns], POS), POS, rows)
+
+
+def unpack_batches(packed: DataFrame) -> Table:
+    """The table of what ``pack_batches`` made, in its order."""
+    return Table(packing.unpack(packed, POS), dense=True)
+
+
 def _arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

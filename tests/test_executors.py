@@ -1,6 +1,7 @@
 """Work that stays on the executors: whole columns do not pass through the driver."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,12 +9,12 @@ from granary.operators import ndarray as nd
 from granary.operators.groupby import group_reduce, reduce_columns
 from granary.operators.table import Table
 from granary.queries import queries
-from granary.sources import connector
+from granary.sources import connector, tabular
 
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions", "column_chunks"]
+WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions", "column_chunks", "io_arrow_batches"]
 
 
 @pytest.fixture
@@ -105,3 +106,20 @@ def test_chunk_frame(spark):
     assert t.where("id > 20")["v"].chunk_frame(4).count() == 0
     with pytest.raises(ValueError):
         t["v"].chunk_frame(0)
+
+
+ODD = """SELECT id, if(id = 3, NULL, concat('é', id)) AS `a.b`, timestamp_seconds(id * 1e9) AS t, date_add(date'1969-12-30', int(id)) AS d, cast(id AS decimal(20, 3)) AS m,
+         array(id, NULL) AS l, named_struct('x', id, 'y', 'z') AS s, map('k', id) AS mp, if(id = 4, double('nan'), id / 3) AS f, cast('bytes' AS binary) AS b FROM range(11)"""
+
+
+def test_packed_batches(spark):
+    t = Table.from_frame(spark.sql(ODD).repartition(3), ordered_by=[F.col("id")])
+    parts = tabular.pack_batches(t, rows=4)
+    assert sorted((r.start, pa.ipc.open_stream(r.stream).read_all().num_rows) for r in parts.collect()) == [(0, 4), (4, 4), (8, 3)]
+    back = tabular.unpack_batches(parts)
+    assert back.schema.simpleString() == t.schema.simpleString()
+    assert str(back.ordered_frame.collect()) == str(t.ordered_frame.collect())
+    empty = tabular.unpack_batches(tabular.pack_batches(t.where("id > 20")))
+    assert empty.columns == t.columns and len(empty) == 0
+    with pytest.raises(ValueError):
+        tabular.pack_batches(t, rows=0)
