@@ -134,7 +134,9 @@ def from_arrow(spark: SparkSession, data: Any, batches: Iterable[pa.RecordBatch]
     """A table of a pyarrow Table, a schema with batches, or anything with an Arrow stream.
 
     Streams are written to a scratch table in stretches, so the driver holds
-    no more than STREAM_ROWS rows and one batch of them.
+    no more than STREAM_ROWS rows and one batch of them. Tables of Spark need
+    not come this way: ``write_arrow`` and ``read_arrow`` leave rows on the
+    executors.
     """
     if isinstance(data, pa.Table):
         return Table(spark.createDataFrame(data.append_column(POS, pa.array(range(data.num_rows), pa.int64()))), dense=True)
@@ -186,6 +188,16 @@ def unpack_batches(packed: DataFrame) -> Table:
     return Table(packing.unpack(packed, POS), dense=True)
 
 
+def write_arrow(table: Table, path: str, rows: int = 65_536) -> None:
+    """Arrow streams of every ``rows`` rows in order, written by the executors as ``pack_batches`` makes them."""
+    pack_batches(table, rows).write.parquet(path)
+
+
+def read_arrow(spark: SparkSession, path: str) -> Table:
+    """The table of what ``write_arrow`` wrote."""
+    return unpack_batches(spark.read.parquet(path))
+
+
 def _arrow_schema(df: DataFrame) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -14,7 +14,7 @@ from granary.sources import connector, tabular
 DATA = "/root/testdata/sf0.001"
 
 #: Queries whose result grows with their table.
-WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions", "column_chunks", "io_arrow_batches"]
+WHOLE = ["array_packed", "array_source", "group_reduced_arrays", "sort_positions", "column_chunks", "io_arrow_batches", "io_arrow_stream"]
 
 
 @pytest.fixture
@@ -123,3 +123,12 @@ def test_packed_batches(spark):
     assert empty.columns == t.columns and len(empty) == 0
     with pytest.raises(ValueError):
         tabular.pack_batches(t, rows=0)
+
+
+def test_written_streams(spark, tmp_path):
+    t = Table.from_frame(spark.sql(ODD).repartition(3), ordered_by=[F.col("id").desc()])
+    tabular.write_arrow(t, str(tmp_path / "streams"), rows=3)
+    back = tabular.read_arrow(spark, str(tmp_path / "streams"))
+    assert str(back.ordered_frame.collect()) == str(t.ordered_frame.collect())
+    tabular.write_arrow(t.where("id > 20"), str(tmp_path / "none"))
+    assert tabular.read_arrow(spark, str(tmp_path / "none")).columns == t.columns
